@@ -8,7 +8,7 @@ least ones), which a run of neighbouring windows shares: about a quarter of the
 
 Null and blank texts have no words. Texts shorter than `length` keep all. A null doc_id neither gives nor takes
 matches. Rows with the same doc_id never match each other, since neither id is smaller. Windows are compared by 64-bit
-hashes on the first level, where a collision only costs time, and by 127 bits' worth of two hashes on the last.
+hashes on the first level, where a collision only costs time, and by 95 bits on the last.
 """
 
 from __future__ import annotations
@@ -79,7 +79,7 @@ def _last_level(length: int, half: int):
                     at = a + np.flatnonzero(np.isin(least[a:b], keys[lists[i + k] : lists[i + k + 1]]))
                     if len(at):
                         at = at[np.unique(full[0][at], return_index=True)[1]]
-                        yield pa.RecordBatch.from_arrays([signed(full[0][at]), signed(full[1][at] >> np.uint64(32)).cast(pa.int32()), pa.array(np.full(len(at), ids[i + k]))], names=["key", "more", "doc_id"])
+                        yield pa.RecordBatch.from_arrays([signed(full[0][at]), signed(full[1][at] >> np.uint64(33)).cast(pa.int32()), pa.array(np.full(len(at), ids[i + k]))], names=["key", "more", "doc_id"])
 
     return run
 
