@@ -84,14 +84,17 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
 # ---------------------------------------------------------------- the trie
 
 
-def trie_links(a: np.ndarray, b: np.ndarray, budget: int, leaf: int = 32) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Indices of all pairs of the sorted arrays a and b that differ in at most budget bits."""
-    stack = [(np.array([[0, len(a), 0, len(b)]]), np.zeros((1, 2), np.uint64), np.zeros(1, np.int64), 63)]
+def trie_links(a: np.ndarray, b: np.ndarray, budget: int, leaf: int = 64) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Indices of all pairs of the sorted arrays a and b that differ in at most budget bits.
+
+    A front holds node pairs of one depth: columns are the ranges in a and b, the nodes' prefixes and the bits spent.
+    Large fronts are walked in parts, so that memory stays bounded.
+    """
+    zero = np.zeros(1, np.uint64)
+    stack = [(np.array([[0, len(a), 0, len(b)]]), zero, zero, np.zeros(1, np.int64), 63)]
     while stack:
-        box, base, spent, bit = stack.pop()
-        small = (box[:, 1] - box[:, 0]) * (box[:, 3] - box[:, 2]) <= leaf
-        if bit < 0:
-            small[:] = True
+        box, pa_, pb_, spent, bit = stack.pop()
+        small = np.full(len(box), True) if bit < 0 else (box[:, 1] - box[:, 0]) * (box[:, 3] - box[:, 2]) <= leaf
         for part in np.array_split(box[small], max(1, int(small.sum()) // 20_000)):
             la, lb = part[:, 1] - part[:, 0], part[:, 3] - part[:, 2]
             k = _ramp(la * lb)
@@ -100,22 +103,22 @@ def trie_links(a: np.ndarray, b: np.ndarray, budget: int, leaf: int = 32) -> Ite
             hit = np.bitwise_count(a[x] ^ b[y]) <= budget
             if hit.any():
                 yield x[hit], y[hit]
-        box, base, spent = box[~small], base[~small], spent[~small]
+        box, pa_, pb_, spent = box[~small], pa_[~small], pb_[~small], spent[~small]
         if not len(box):
             continue
         half = np.uint64(1) << np.uint64(bit)
-        mid_a = np.clip(np.searchsorted(a, base[:, 0] | half), box[:, 0], box[:, 1])
-        mid_b = np.clip(np.searchsorted(b, base[:, 1] | half), box[:, 2], box[:, 3])
+        mid_a = np.clip(np.searchsorted(a, pa_ | half), box[:, 0], box[:, 1])
+        mid_b = np.clip(np.searchsorted(b, pb_ | half), box[:, 2], box[:, 3])
+        down = []
         for p in (0, 1):
             for q in (0, 1):
-                ra = np.stack([box[:, 0], mid_a] if p == 0 else [mid_a, box[:, 1]], axis=1)
-                rb = np.stack([box[:, 2], mid_b] if q == 0 else [mid_b, box[:, 3]], axis=1)
-                ok = (ra[:, 0] < ra[:, 1]) & (rb[:, 0] < rb[:, 1]) & (spent + (p != q) <= budget)
-                if not ok.any():
-                    continue
-                down = base[ok] | np.array([half * np.uint64(p), half * np.uint64(q)], np.uint64)
-                for at in np.array_split(np.arange(int(ok.sum())), max(1, int(ok.sum()) // 200_000)):
-                    stack.append((np.concatenate([ra[ok][at], rb[ok][at]], axis=1), down[at], spent[ok][at] + (p != q), bit - 1))
+                lo_a, hi_a = (box[:, 0], mid_a) if p == 0 else (mid_a, box[:, 1])
+                lo_b, hi_b = (box[:, 2], mid_b) if q == 0 else (mid_b, box[:, 3])
+                ok = (lo_a < hi_a) & (lo_b < hi_b) & (spent + (p != q) <= budget)
+                down.append((np.stack([lo_a, hi_a, lo_b, hi_b], axis=1)[ok], pa_[ok] | half * np.uint64(p), pb_[ok] | half * np.uint64(q), spent[ok] + (p != q)))
+        front = [np.concatenate(x) for x in zip(*down)]
+        for at in np.array_split(np.arange(len(front[0])), max(1, len(front[0]) // 200_000)):
+            stack.append((*(x[at] for x in front), bit - 1))
 
 
 def _forest(links: Iterator[tuple[np.ndarray, np.ndarray]], n: int) -> list[tuple[int, int]]:
@@ -171,7 +174,7 @@ def links(prints: DataFrame, scratch: Scratch, budget: int = 2, node: int = 256)
     """
     if not 0 <= budget <= 3:
         raise ValueError("budget must be 0 to 3")
-    n = prints.count()
+    spark, n = prints.sparkSession, prints.count()
     depth, step = max(4, min(40, (max(n, 1) // node).bit_length())), 4
     masks = [sum(1 << b for b in bits) for k in range(budget + 1) for bits in combinations(range(depth), k)]
     sent = prints.selectExpr("fp", f"{_prefix('fp', depth)} AS here").select("fp", "here", F.explode(F.lit(masks)).alias("mask")).selectExpr("fp", "here ^ mask AS node", "mask = 0 AS own").where("own OR node < " + _prefix("fp", depth))
@@ -190,7 +193,9 @@ def links(prints: DataFrame, scratch: Scratch, budget: int = 2, node: int = 256)
     whole = sent.withColumn("depth", F.lit(depth))
     for d in done:
         whole = whole.unionByName(d)
-    return whole.groupBy("depth", "node").applyInPandas(_join_node(budget), "a long, b long")
+    # Walking costs more than the rows' bytes tell, so tasks are not merged by size.
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    return whole.repartition(tasks, "depth", "node").groupBy("depth", "node").applyInPandas(_join_node(budget), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, budget: int = 2, node: int = 256) -> DataFrame:
