@@ -170,7 +170,7 @@ def _prefix(fp: str, depth: int) -> str:
 def links(prints: DataFrame, scratch: Scratch, budget: int = 2, node: int = 256) -> DataFrame:
     """(a, b): links between distinct fingerprints prints(fp) that give all components at that budget.
 
-    node is the number of fingerprints aimed at in one node; nodes with eight times as many are walked further down.
+    node is the number of fingerprints aimed at in one node; nodes with four times as many are walked further down.
     """
     if not 0 <= budget <= 3:
         raise ValueError("budget must be 0 to 3")
@@ -180,7 +180,7 @@ def links(prints: DataFrame, scratch: Scratch, budget: int = 2, node: int = 256)
     sent = prints.selectExpr("fp", f"{_prefix('fp', depth)} AS here").select("fp", "here", F.explode(F.lit(masks)).alias("mask")).selectExpr("fp", "here ^ mask AS node", "mask = 0 AS own").where("own OR node < " + _prefix("fp", depth))
     done = []
     while depth + step <= 64:
-        crowd = scratch.write(sent.where("own").groupBy("node").count().where(f"count > {8 * node}").select("node"), sweep=False)
+        crowd = scratch.write(sent.where("own").groupBy("node").count().where(f"count > {4 * node}").select("node"), sweep=False)
         if crowd.isEmpty():
             break
         sent = scratch.write(sent, sweep=False) if not done else sent
