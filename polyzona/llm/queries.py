@@ -12,13 +12,33 @@ from .quality import judge_quality
 from .sharding import assign_shards
 from .simhash import near_duplicates
 from .substring_dedup import dedup_substrings
+from .tiling import find_contaminated
+from .token_counts import Ledger, count_tokens
 from .token_files import read_tokens, write_tokens
 
+from .toxicity import score_toxicity, train_toxicity
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token totals after three commits: all documents, the same batch again, and deletes of those labelled toxic."""
+    import public_tokenizers
+
+    version = "byte_bpe_50k"
+    scratch = Scratch(spark)
+    ledger = Ledger(spark, f"{scratch.root}/ledger")
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    counted = count_tokens(docs, public_tokenizers.path(f"{version}.tiktoken")).selectExpr("doc_id", "source", "lang", f"'{version}' AS version", "'insert' AS op", "n_tokens", "0L AS at")
+    ledger.commit("load", counted)
+    ledger.commit("load", counted)
+    toxic = _table(spark, sf_dir, "labels").where("toxic = 1").selectExpr("doc_id", "'' AS source", "'' AS lang", f"'{version}' AS version", "'delete' AS op", "0L AS n_tokens", "0L AS at")
+    ledger.commit("toxic", toxic)
+    return ledger.totals()
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words covered by 13-word windows that also start in an earlier document go."""
     return dedup_substrings(_table(spark, sf_dir, "documents"), length=13)
@@ -34,6 +54,11 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(_table(spark, sf_dir, "documents").select("doc_id", "text"), shards=8).drop("text")
 
 
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of which tiles cover three fifths or more of a benchmark item."""
+    return find_contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as token ids in files, read back from these."""
     import public_tokenizers
@@ -43,6 +68,12 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(spark, path, ids=False)
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probabilities of a chain learnt on a bounded sample of the labelled documents, for all documents."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return score_toxicity(docs, train_toxicity(docs, _table(spark, sf_dir, "labels")))
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources mixed by weights 1, 2, 3, repeating, to as many words as there are."""
     return mix(_table(spark, sf_dir, "documents").select("doc_id", "source", "text")).drop("text", "source")
@@ -54,10 +85,13 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_counts": op1_token_counts,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_quality_rules": op3_quality_rules,
     "op4_sharding": op4_sharding,
+    "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_token_files": op7_token_files,
+    "op8_toxicity": op8_toxicity,
     "op9_source_mixing": op9_source_mixing,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }

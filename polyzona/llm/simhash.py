@@ -24,7 +24,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, buffers, find_words, signed, slices
@@ -54,7 +54,8 @@ def _fingerprints(width: int):
                 values = np.array([digest(joined[a:b], 42) for a, b in zip(begin[first].tolist(), (begin[last] - 1).tolist())], np.uint64)
                 out.append(_majority(values, shingles))
             prints = np.concatenate(out) if out else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), signed(prints)], names=["doc_id", "fp"])
+            rest = [c for c in batch.schema.names if c != "text"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), signed(prints)], names=[*rest, "fp"])
 
     return run
 
@@ -212,12 +213,17 @@ def near_duplicates(docs: DataFrame, width: int = 3, budget: int = 2, node: int
     return prints.join(by_print, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, **how) -> DataFrame:
-    """docs with one row of each component: one with the least doc_id (a component without ids keeps one row too).
+def keep_one(docs: DataFrame, width: int = 3, budget: int = 2) -> DataFrame:
+    """docs with one row of each component, that of the least doc_id, in the columns of docs.
 
-    Of several rows that share that doc_id, one with the least text stays. Columns are those of docs.
+    A row without id goes by a number below zero made from its text. Of several rows with the least doc_id, one with
+    the least fingerprint, then the least text, stays.
     """
-    groups = near_duplicates(docs, **how).select("doc_id", "component_id").distinct()
-    stays = groups.where("doc_id IS NOT DISTINCT FROM component_id").select("doc_id").distinct()
-    kept = docs.join(stays.withColumnRenamed("doc_id", "_stay"), F.expr("doc_id IS NOT DISTINCT FROM _stay")).drop("_stay")
-    return kept.dropDuplicates(["doc_id"])
+    ident = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text").bitwiseOR(F.lit(-(1 << 63))))
+    row = docs.select(ident.alias("doc_id"), "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    found = near_duplicates(row.select("doc_id", "text"), width, budget)
+    stays = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "fingerprint")).alias("s")).select(F.col("s.doc_id").alias("doc_id"), F.expr("CAST(conv(s.fingerprint, 16, -10) AS BIGINT)").alias("fp"))
+    kind = row.schema["_row"].dataType.simpleString()
+    prints = row.mapInArrow(_fingerprints(width), f"doc_id long, _row {kind}, fp long").join(stays, ["doc_id", "fp"])
+    place = F.row_number().over(Window.partitionBy("doc_id", "fp").orderBy(F.xxhash64("_row.text"), "_row.text"))
+    return prints.withColumn("_place", place).where("_place = 1").select("_row.*")
