@@ -15,6 +15,7 @@ from .common import Scratch
 def connected_components(edges: DataFrame, scratch: Scratch, rounds: int = 50) -> DataFrame:
     """(node, root) for every node of edges(a, b), root being the least node reachable; nodes without links are absent."""
     pairs = scratch.write(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), sweep=False)
+    last = None
     for _ in range(rounds):
         # Large star: every neighbour above u is linked to the least of u and its neighbours.
         both = pairs.select("u", "v").union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -24,11 +25,11 @@ def connected_components(edges: DataFrame, scratch: Scratch, rounds: int = 50) -
         low = scratch.write(large.groupBy("u").agg(F.min("v").alias("m")), sweep=False)
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         after = scratch.write(small.union(low.select("u", F.col("m").alias("v"))).distinct(), sweep=False)
-        same = after.exceptAll(pairs).isEmpty() and pairs.exceptAll(after).isEmpty()
         scratch.drop(least, large, low, pairs)
-        pairs = after
-        if same:
+        pairs, mark = after, after.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first()
+        if mark == last:
             break
+        last = mark
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     scratch.sweep()
