@@ -8,7 +8,7 @@ least ones), which a run of neighbouring windows shares: about a quarter of the
 
 Null and blank texts have no words. Texts shorter than `length` keep all. A null doc_id neither gives nor takes
 matches. Rows with the same doc_id never match each other, since neither id is smaller. Windows are compared by 64-bit
-hashes on the first level, where a collision only costs time, and by 95 bits on the last.
+hashes: n candidate windows give about n * n / 2**65 false matches, less than one up to some five billion of them.
 """
 
 from __future__ import annotations
@@ -64,13 +64,13 @@ def _first_level(length: int, half: int):
 
 def _last_level(length: int, half: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, one, two = Rolling(half), Rolling(101), Rolling(202)
+        hasher, one = Rolling(half), Rolling(101)
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             keys, lists = _flat(batch.column("keys"))
             for i, j, _, _, _, _, row, words, whole in _sequences(batch, length):
                 least = _least(words, length, half, hasher).view(np.int64)
-                full = one.windows(words, length), two.windows(words, length)
+                full = one.windows(words, length)
                 where = np.searchsorted(row, np.arange(j - i + 1))
                 for k in range(j - i):
                     a, b = where[k], max(where[k], where[k + 1] - length + 1)
@@ -78,8 +78,8 @@ def _last_level(length: int, half: int):
                         continue
                     at = a + np.flatnonzero(np.isin(least[a:b], keys[lists[i + k] : lists[i + k + 1]]))
                     if len(at):
-                        at = at[np.unique(full[0][at], return_index=True)[1]]
-                        yield pa.RecordBatch.from_arrays([signed(full[0][at]), signed(full[1][at] >> np.uint64(33)).cast(pa.int32()), pa.array(np.full(len(at), ids[i + k]))], names=["key", "more", "doc_id"])
+                        keys_here = np.unique(full[at])
+                        yield pa.RecordBatch.from_arrays([signed(keys_here), pa.array(np.full(len(keys_here), ids[i + k]))], names=["key", "doc_id"])
 
     return run
 
@@ -145,9 +145,9 @@ def dedup_substrings(docs: DataFrame, length: int = 13, texts: bool = False) ->
     scratch.drop(repeated)
 
     # Level 2: only those are extended to the whole length.
-    long = scratch.write(known.join(found, "doc_id").mapInArrow(_last_level(length, half), "key long, more int, doc_id long"))
-    first = scratch.write(long.groupBy("key", "more").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").drop("hi"))
-    victims = scratch.write(long.join(first, ["key", "more"]).where("lo < doc_id").groupBy("doc_id").agg(F.collect_set("key").alias("keys")))
+    long = scratch.write(known.join(found, "doc_id").mapInArrow(_last_level(length, half), "key long, doc_id long"))
+    first = scratch.write(long.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").drop("hi"))
+    victims = scratch.write(long.join(first, "key").where("lo < doc_id").groupBy("doc_id").agg(F.collect_set("key").alias("keys")))
     scratch.drop(found, long, first)
     out = "doc_id long, n_words long, n_removed long, n_spans long, kept_sha256 string" + (", kept string" if texts else "")
     return docs.join(victims, "doc_id", "left").select("doc_id", "text", "keys").mapInArrow(_mark(length, texts), out)
