@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from . import cells
+from .staging import staged
 
 _BOX = ["bbox_w", "bbox_s", "bbox_e", "bbox_n"]
 #: Metres below which a shared border is none. A fixed value.
@@ -116,6 +117,7 @@ def relations(pairs: DataFrame, zones: DataFrame, eps: float = G.LOOSE) -> DataF
             "_over": overlaps(pa, pb, eps),
         }
     ).drop("_a", "_b")
+    pairs = pairs.select("a", "b")
     found = shaped.join(shared_borders(pairs, zones, eps=eps), ["a", "b"], "left").join(touch_points(pairs, zones, eps=eps), ["a", "b"], "left")
     relation = (
         F.when(F.col("_apart"), "disjoint")
@@ -184,11 +186,12 @@ def k_ring(zones: DataFrame, links: DataFrame, k: int) -> DataFrame:
     """id, neighbor_id, distance up to k over links(id, neighbor_id); the zone itself is left out."""
     if k < 1:
         return links.select("id", "neighbor_id", F.lit(0).alias("distance")).limit(0)
-    front = links.select("id", "neighbor_id").where("id <> neighbor_id").distinct().withColumn("distance", F.lit(1))
+    links = staged(links.select("id", "neighbor_id").where("id <> neighbor_id").distinct())
+    front = links.withColumn("distance", F.lit(1))
     out = front
     for d in range(2, k + 1):
         step = front.select("id", F.col("neighbor_id").alias("_v")).join(links.select(F.col("id").alias("_v"), "neighbor_id"), "_v").where("id <> neighbor_id").select("id", "neighbor_id").distinct()
-        front = step.join(out.select("id", "neighbor_id"), ["id", "neighbor_id"], "left_anti").withColumn("distance", F.lit(d))
+        front = staged(step.join(out.select("id", "neighbor_id"), ["id", "neighbor_id"], "left_anti").withColumn("distance", F.lit(d)))
         out = out.unionByName(front)
     return out
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from . import locate as L
+from .staging import staged
 
 
 def parents(zones: DataFrame) -> DataFrame:
@@ -28,11 +29,11 @@ def ancestors(zones: DataFrame, max_depth: int = 32) -> DataFrame:
     """id, ancestor_id, distance: every zone with each of those above it, nearest at distance 1."""
     edges = zones.where("parent_id IS NOT NULL").select("id", F.col("parent_id").alias("up"))
     there = zones.select(F.col("id").alias("up"))
-    step = edges.join(there, "up", "left_semi").select("id", "up")
+    step = staged(edges.join(there, "up", "left_semi").select("id", "up"))
     out, depth = step.select("id", F.col("up").alias("ancestor_id"), F.lit(1).alias("distance")), 1
     above = step.select(F.col("id").alias("up"), F.col("up").alias("next"))
     while depth < max_depth:
-        step, depth = step.join(above, "up").select("id", F.col("next").alias("up")), depth + 1
+        step, depth = staged(step.join(above, "up").select("id", F.col("next").alias("up"))), depth + 1
         if step.isEmpty():
             break
         out = out.unionByName(step.select("id", F.col("up").alias("ancestor_id"), F.lit(depth).alias("distance")))
@@ -53,6 +54,7 @@ def in_cycle(zones: DataFrame, max_depth: int = 32) -> DataFrame:
         hit = walk.where(F.array_contains("seen", F.col("up"))).select("id")
         found = hit if found is None else found.unionByName(hit)
         walk = walk.where(~F.array_contains("seen", F.col("up"))).withColumn("seen", F.array_append("seen", F.col("up"))).join(above, "up").select("id", F.col("next").alias("up"), "seen")
+        walk = staged(walk)
         if walk.isEmpty():
             break
     return found.distinct()
