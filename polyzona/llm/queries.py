@@ -13,6 +13,7 @@ from .sharding import assign_shards
 from .simhash import near_duplicates
 from .substring_dedup import dedup_substrings
 from .tiling import find_contaminated
+from .suffix_dedup import dedup_bytes
 from .token_counts import Ledger, count_tokens
 from .token_files import read_tokens, write_tokens
 
@@ -54,6 +55,11 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(_table(spark, sf_dir, "documents").select("doc_id", "text"), shards=8).drop("text")
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes covered by 400-byte strings that occur twice or more go."""
+    return dedup_bytes(_table(spark, sf_dir, "documents"), length=400)
+
+
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of which tiles cover three fifths or more of a benchmark item."""
     return find_contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -89,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_substring_dedup": op2_substring_dedup,
     "op3_quality_rules": op3_quality_rules,
     "op4_sharding": op4_sharding,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_token_files": op7_token_files,
     "op8_toxicity": op8_toxicity,
