@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
@@ -58,10 +58,11 @@ def ring_issues(zones: DataFrame) -> DataFrame:
 def self_intersections(zones: DataFrame) -> DataFrame:
     """Rings of which two sides that are not neighbours meet. Sides are joined within a ring only."""
     s = A.segments(zones, holes=True)
-    last = s.groupBy("id", "poly", "ring").agg(F.max("place").alias("last"))
-    side = lambda k: s.select("id", "poly", "ring", F.col("place").alias(f"{k}_place"), F.struct("x1", "y1", "x2", "y2").alias(k))
-    pairs = side("l").join(side("r"), ["id", "poly", "ring"]).where("l_place + 1 < r_place").join(last, ["id", "poly", "ring"])
-    pairs = pairs.where("NOT (l_place = 0 AND r_place = last)").where(G.segments_intersect(F.col("l"), F.col("r")))
+    ring = Window.partitionBy("id", "poly", "ring")
+    s = s.withColumns({"place": F.row_number().over(ring.orderBy("place")), "last": F.count("*").over(ring)})
+    side = lambda k: s.select("id", "poly", "ring", "last", F.col("place").alias(f"{k}_place"), F.struct("x1", "y1", "x2", "y2").alias(k))
+    pairs = side("l").join(side("r"), ["id", "poly", "ring", "last"]).where("l_place + 1 < r_place AND NOT (l_place = 1 AND r_place = last)")
+    pairs = pairs.where(G.segments_intersect(F.col("l"), F.col("r")))
     return _issues(pairs.select("id", "poly", "ring").distinct(), "SELF_INTERSECTION", "error", path=_ring_path())
 
 
