@@ -18,7 +18,9 @@ word is encoded once per worker.
 from __future__ import annotations
 
 import os
+import re
 import struct
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import buffers
+from .common import buffers, slices
 
 BLOCK = 512
 _HEAD = struct.Struct("<4sIIIQ")
@@ -120,30 +122,51 @@ def decode_segment(image: bytes) -> tuple[list[int | None], np.ndarray, np.ndarr
 
 
 class WordEncoder:
-    """Token ids of texts by way of their distinct words, as little-endian bytes."""
+    """Token ids of texts by way of their distinct words, as little-endian bytes.
 
-    def __init__(self, file: str, end_id: int, room: int = 500_000):
+    The tokenizer lower-cases, so words are looked up in lower case; texts that may hold its special tokens, which are
+    matched as written, are not lowered. A word that ends in a letter and punctuation is encoded as these two, between
+    which the tokenizer's pattern always cuts. Both tables are emptied when they are full.
+    """
+
+    def __init__(self, file: str, end_id: int, room: int = 700_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.end, self.room = Tokenizer.from_file(file), np.array([end_id], "<u4").tobytes(), room
-        self.known: dict[bytes, bytes] = {}
-
-    def learn(self, words: set[bytes]) -> None:
-        if len(self.known) + len(words) > self.room:
-            self.known.clear()
-        new = [w for w in words if w not in self.known]
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
-
-    def encode(self, text: bytes) -> bytes:
-        words = text.split()
-        self.learn(set(words) - self.known.keys())
-        return b"".join(map(self.known.__getitem__, words)) + self.end
-
-
+        self.words: dict[bytes, bytes] = {}
+        self.parts: dict[bytes, bytes] = {}
+
+    def _learn(self, new: set[bytes]) -> None:
+        if len(self.words) + len(new) > self.room:
+            self.words.clear()
+        cut = {w: m.groups() if (m := _PARTS.fullmatch(w)) else (w, b"") for w in new}
+        parts = {p for pair in cut.values() for p in pair if p and p not in self.parts}
+        if len(self.parts) + len(parts) > self.room:
+            self.parts.clear()
+            parts = {p for pair in cut.values() for p in pair if p}
+        order = list(parts)
+        for i in range(0, len(order), 4096):
+            some = order[i : i + 4096]
+            for w, e in zip(some, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in some], add_special_tokens=False)):
+                self.parts[w] = array("I", e.ids).tobytes()
+        for w, (core, tail) in cut.items():
+            self.words[w] = self.parts[core] + self.parts[tail] if tail else self.parts[core]
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of each text, with the end id."""
+        split = [(t if b"<|" in t else t.lower()).split() for t in texts]
+        new = {w for words in split for w in words if w not in self.words}
+        if new:
+            self._learn(new)
+            if any(w not in self.words for words in split for w in words):  # the tables were emptied on the way
+                self._learn({w for words in split for w in words})
+        known = self.words.__getitem__
+        return [b"".join(map(known, words)) + self.end for words in split]
+
+
+#: What ends in a lower-case ASCII letter and, after it, ASCII punctuation alone.
+_PARTS = re.compile(rb"(.*[a-z])([^a-z0-9A-Z\x80-\xff]+)", re.DOTALL)
 _ENCODERS: dict[tuple[str, int], WordEncoder] = {}
 
 
@@ -168,13 +191,15 @@ def _write(file: str, end_id: int, segment_ids: int):
 
         for batch in batches:
             data, off = buffers(batch.column("text"))
-            for k, doc in enumerate(batch.column("doc_id").to_pylist()):
-                names.append(doc)
-                texts.append(words.encode(data[off[k] : off[k + 1]].tobytes()))
-                total += len(texts[-1]) // 4
-                if total >= segment_ids:
-                    yield segment()
-                    names, texts, total, seq = [], [], 0, seq + 1
+            docs = batch.column("doc_id").to_pylist()
+            for i, j in slices(off, 1 << 20):
+                for doc, ids in zip(docs[i:j], words.encode([data[x:y].tobytes() for x, y in zip(off[i:j].tolist(), off[i + 1 : j + 1].tolist())])):
+                    names.append(doc)
+                    texts.append(ids)
+                    total += len(ids) // 4
+                    if total >= segment_ids:
+                        yield segment()
+                        names, texts, total, seq = [], [], 0, seq + 1
         if names:
             yield segment()
 
