@@ -138,16 +138,19 @@ class WordEncoder:
         self.parts: dict[bytes, bytes] = {}
 
     def _learn(self, new: set[bytes]) -> None:
-        if len(self.words) + len(new) > self.room:
-            self.words.clear()
         cut = {w: m.groups() if (m := _PARTS.fullmatch(w)) else (w, b"") for w in new}
         parts = {p for pair in cut.values() for p in pair if p and p not in self.parts}
         if len(self.parts) + len(parts) > self.room:
             self.parts.clear()
             parts = {p for pair in cut.values() for p in pair if p}
-        order = list(parts)
-        for i in range(0, len(order), 4096):
-            some = order[i : i + 4096]
+        # Lower-case ASCII letters are one word of the tokenizer's model; the rest goes through all of its steps.
+        plain = [p for p in parts if p.isascii() and p.isalpha() and p.islower()]
+        other = list(parts.difference(plain))
+        piece = self.tokenizer.model.tokenize
+        for w in plain:
+            self.parts[w] = array("I", [t.id for t in piece(w.decode())]).tobytes()
+        for i in range(0, len(other), 4096):
+            some = other[i : i + 4096]
             for w, e in zip(some, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in some], add_special_tokens=False)):
                 self.parts[w] = array("I", e.ids).tobytes()
         for w, (core, tail) in cut.items():
@@ -156,11 +159,13 @@ class WordEncoder:
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text, with the end id."""
         split = [(t if b"<|" in t else t.lower()).split() for t in texts]
-        new = {w for words in split for w in words if w not in self.words}
+        seen = set().union(*split)
+        new = {w for w in seen if w not in self.words}
+        if len(self.words) + len(new) > self.room:
+            self.words.clear()
+            new = seen
         if new:
             self._learn(new)
-            if any(w not in self.words for words in split for w in words):  # the tables were emptied on the way
-                self._learn({w for words in split for w in words})
         known = self.words.__getitem__
         return [b"".join(map(known, words)) + self.end for words in split]
 
