@@ -216,10 +216,10 @@ def near_duplicates(docs: DataFrame, width: int = 3, budget: int = 2, node: int
 def keep_one(docs: DataFrame, width: int = 3, budget: int = 2) -> DataFrame:
     """docs with one row of each component, that of the least doc_id, in the columns of docs.
 
-    A row without id goes by a number below zero made from its text. Of several rows with the least doc_id, one with
+    A row without id goes by a number made from its text, above 2**62 and so after all others. Of several rows with the least doc_id, one with
     the least fingerprint, then the least text, stays.
     """
-    ident = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text").bitwiseOR(F.lit(-(1 << 63))))
+    ident = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62)))
     row = docs.select(ident.alias("doc_id"), "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
     found = near_duplicates(row.select("doc_id", "text"), width, budget)
     stays = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "fingerprint")).alias("s")).select(F.col("s.doc_id").alias("doc_id"), F.expr("CAST(conv(s.fingerprint, 16, -10) AS BIGINT)").alias("fp"))
