@@ -51,7 +51,7 @@ def to_geometry(polys: Column) -> Column:
 
 def to_features(zones: DataFrame) -> DataFrame:
     """id and feature, the JSON text of each zone."""
-    properties = F.to_json(F.struct("level", "name", "parent_id"))
+    properties = F.to_json(F.struct(*[c for c in ("level", "name", "parent_id") if c in zones.columns]))
     text = F.concat(F.lit('{"geometry":'), to_geometry(F.col("polys")), F.lit(',"id":'), F.to_json(F.array("id")).substr(F.lit(2), F.length(F.to_json(F.array("id"))) - 2), F.lit(',"properties":'), properties, F.lit(',"type":"Feature"}'))
     return zones.select("id", text.alias("feature"))
 

@@ -31,6 +31,10 @@ def zone_counts(located: DataFrame, width: str = "10 minutes", late: str = "30 m
     return located.withWatermark("ts", late).groupBy(F.window("ts", width), "zone_id").agg(F.count("*").alias("n"))
 
 
+#: Milliseconds of event time for which a silent session is remembered.
+KEEP_MS = 3_600_000
+
+
 def _newest(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     if state.hasTimedOut:
         state.remove()
@@ -43,14 +47,18 @@ def _newest(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> I
                 best, changed = (int(row.revision), str(row.request)), True
     if best is not None:
         state.update(best)
-        state.setTimeoutDuration(3_600_000)
+        state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + KEEP_MS)
     if changed and best is not None:
         yield pd.DataFrame({"session": [key[0]], "revision": [best[0]], "request": [best[1]]})
 
 
-def newest_requests(requests: DataFrame) -> DataFrame:
-    """A stream of requests(session, revision, request): the newest revision of each session, older ones dropped."""
-    return requests.groupBy("session").applyInPandasWithState(_newest, "session string, revision long, request string", "revision long, request string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+def newest_requests(requests: DataFrame, late: str = "10 minutes") -> DataFrame:
+    """A stream of requests(session, revision, request, ts): the newest revision of each session, older ones dropped.
+
+    A session's state goes when the watermark has passed it by an hour.
+    """
+    kept = requests.withWatermark("ts", late).groupBy("session")
+    return kept.applyInPandasWithState(_newest, "session string, revision long, request string", "revision long, request string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def newest_in_table(requests: DataFrame) -> DataFrame:
