@@ -103,7 +103,7 @@ def merge_datasets(zones: DataFrame, mode: str = "error") -> DataFrame:
 
 
 def identities(features: DataFrame) -> DataFrame:
-    """territory id and stability of features(country, admin_level, official, stable, source_id, parent_key, name).
+    """zone_id and stability of features(country, admin_level, official, stable, source_id, parent_key, name).
 
     Features whose ids collide are told apart by their source id.
     """
