@@ -40,7 +40,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of all documents, written and read back."""
     path = f"{Scratch(spark).root}/tokens"
-    write_tokens(docs, path, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    write_tokens(docs, path, public_tokenizers.path("word_bpe_49k.json"), end_id=1, room=100_000)  # workers serve other stages too
     return read_tokens(spark, path, ids=False)
 
 

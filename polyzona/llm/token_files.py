@@ -172,19 +172,19 @@ class WordEncoder:
 
 #: What ends in a lower-case ASCII letter and, after it, ASCII punctuation alone.
 _PARTS = re.compile(rb"(.*[a-z])([^a-z0-9A-Z\x80-\xff]+)", re.DOTALL)
-_ENCODERS: dict[tuple[str, int], WordEncoder] = {}
+_ENCODERS: dict[tuple[str, int, int], WordEncoder] = {}
 
 
-def encoder(file: str, end_id: int) -> WordEncoder:
+def encoder(file: str, end_id: int, room: int) -> WordEncoder:
     """One encoder for each worker process."""
-    if (file, end_id) not in _ENCODERS:
-        _ENCODERS[file, end_id] = WordEncoder(file, end_id)
-    return _ENCODERS[file, end_id]
+    if (file, end_id, room) not in _ENCODERS:
+        _ENCODERS[file, end_id, room] = WordEncoder(file, end_id, room)
+    return _ENCODERS[file, end_id, room]
 
 
-def _write(file: str, end_id: int, segment_ids: int):
+def _write(file: str, end_id: int, segment_ids: int, room: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, part, seq = encoder(file, end_id), TaskContext.get().partitionId(), 0
+        words, part, seq = encoder(file, end_id, room), TaskContext.get().partitionId(), 0
         names: list[int | None] = []
         texts: list[bytes] = []
         total = 0
@@ -211,11 +211,14 @@ def _write(file: str, end_id: int, segment_ids: int):
     return run
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, end_id: int, segment_ids: int = 1 << 16) -> None:
-    """docs(doc_id, text) encoded, each with end_id at its end, in ascending doc_id order, as segments below path."""
+def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, end_id: int, segment_ids: int = 1 << 16, room: int = 700_000) -> None:
+    """docs(doc_id, text) encoded, each with end_id at its end, in ascending doc_id order, as segments below path.
+
+    room bounds a worker's tables of known words, at some 100 bytes a word in each of two; idle workers keep them.
+    """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("_h"))
     rows = rows.repartitionByRange("doc_id", "_h").sortWithinPartitions("doc_id", "_h", "text").select("doc_id", "text")
-    rows.mapInArrow(_write(tokenizer_file, end_id, segment_ids), "part int, seq int, n_ids long, n_docs int, image binary").write.parquet(path)
+    rows.mapInArrow(_write(tokenizer_file, end_id, segment_ids, room), "part int, seq int, n_ids long, n_docs int, image binary").write.parquet(path)
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
