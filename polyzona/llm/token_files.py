@@ -126,7 +126,7 @@ class WordEncoder:
 
     The tokenizer lower-cases, so words are looked up in lower case; texts that may hold its special tokens, which are
     matched as written, are not lowered. A word that ends in a letter and punctuation is encoded as these two, between
-    which the tokenizer's pattern always cuts. Both tables are emptied when they are full.
+    which the tokenizer's pattern always cuts, unless it may hold a special token. Both tables are emptied when they are full.
     """
 
     def __init__(self, file: str, end_id: int, room: int = 700_000):
@@ -138,7 +138,7 @@ class WordEncoder:
         self.parts: dict[bytes, bytes] = {}
 
     def _learn(self, new: set[bytes]) -> None:
-        cut = {w: m.groups() if (m := _PARTS.fullmatch(w)) else (w, b"") for w in new}
+        cut = {w: m.groups() if b"<|" not in w and (m := _PARTS.fullmatch(w)) else (w, b"") for w in new}
         parts = {p for pair in cut.values() for p in pair if p and p not in self.parts}
         if len(self.parts) + len(parts) > self.room:
             self.parts.clear()

@@ -293,6 +293,16 @@ def test_token_files(spark, docs, empty):
     assert token_files.read_tokens(spark, path + "2").count() == 0
 
 
+@pytest.mark.parametrize("text", ["one <|endoftext|> two", "one <|endoftext|>. two", "ends <|endoftext|>", "<|startoftext|> a", "x<|endoftext|>, <|other|>!"])
+def test_special_tokens_are_encoded_whole(text):
+    P = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    file = P.path("word_bpe_49k.json")
+    got = np.frombuffer(token_files.WordEncoder(file, 1).encode([text.encode()])[0], "<u4")
+    assert got.tolist() == [*Tokenizer.from_file(file).encode(text, add_special_tokens=False).ids, 1]
+
+
 # ---------------------------------------------------------------- 9
 
 
