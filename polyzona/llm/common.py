@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,14 +31,16 @@ def native_words(text: Column) -> Column:
 class Scratch:
     """Tables in the folder that the cluster shares, named by spark.checkpoint.dir.
 
-    A table read back from there has a short lineage that survives lost executors. Where the setting is absent
-    (a single machine, tests) a temporary folder is set in its place.
+    A table read back from there has a short lineage that survives lost executors. Where the setting is absent a
+    temporary folder is set in its place, on a single machine only: a cluster must name a folder that it shares.
     """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
+            if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             base = "file://" + tempfile.mkdtemp(prefix="polyzona-")
             spark.conf.set("spark.checkpoint.dir", base)
         self.root = f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}"
@@ -67,6 +71,35 @@ class Scratch:
         self.spark._jvm.System.gc()
 
 
+def quoted(name: str) -> str:
+    """A column's name as an identifier, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def whole_row(df: DataFrame) -> Column:
+    """All columns of df as one struct."""
+    return F.struct(*[F.col(quoted(c)) for c in df.columns])
+
+
+def lean(run: Callable) -> Callable:
+    """A function over Arrow batches that gives free memory back to the system when its task ends.
+
+    Idle workers stay alive for a while beside those of later stages; what they keep counts against the executor.
+    """
+
+    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return inner
+
+
 # ---------------------------------------------------------------- bytes of Arrow text
 
 

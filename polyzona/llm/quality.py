@@ -20,7 +20,7 @@ from math import log
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, native_words
+from .common import Scratch, native_words, whole_row
 
 #: Metrics: slack above, and below or None.
 METRICS = {"symbol_share": (0.05, None), "dup_line_share": (0.3, None), "word_length": (1.5, 1.5)}
@@ -144,11 +144,14 @@ def judge_quality(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, small: int = 20_000) -> DataFrame:
-    """The rows of docs that pass, in its columns. Fences are broadcast if there are at most `small` groups."""
+    """The rows of docs that pass, in its columns. Fences are broadcast if there are at most `small` groups.
+
+    Texts are measured once: rows are written with their counts, and the fences are learnt from the counts alone.
+    """
     scratch = Scratch(docs.sparkSession)
-    row = docs.select("text", "lang", "source", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
-    rules = _learn(docs, scratch, scratch.write(measures(row.select("text", "lang", "source")).drop("text"), sweep=False))
+    measured = scratch.write(measures(docs.select("text", "lang", "source", whole_row(docs).alias("_row"))).select("_row", "lang", "source", "_m"), sweep=False)
+    rules = _learn(docs, scratch, measured.select("lang", "source", "_m"))
     if rules.count() <= small:
         rules = F.broadcast(rules)
-    rows = measures(row).select("_row", "_m", *_group()).join(rules, ["_lang", "_source"], "left")
+    rows = measured.select("_row", "_m", *_group()).join(rules, ["_lang", "_source"], "left")
     return rows.where(~_base_failed("_m") & _verdict("_m")).select("_row.*")

@@ -1,9 +1,12 @@
-"""Near copies by shingles: MinHash bands find candidates, the exact Jaccard similarity of shingle sets decides.
+"""Near copies by shingles: SimHash and MinHash find candidates, the exact Jaccard similarity of shingle sets decides.
 
 Texts are lower-cased (A-Z) and cut into words as for SimHash; a text of fewer than `width` words is one shingle, texts
 without words are copies of each other. Texts of the same words are one sequence, and what follows is on sequences.
 
-Candidates: BANDS bands of ROWS MinHash values; a pair of similarity 0.8 shares one with probability 0.99997. All pairs
+Candidates come from two searches, made from one pass over the texts. SimHash fingerprints of the shingles, within
+`budget` bits by the trie self-join, find copies that differ in a word or two. Two bits are too few for a similarity of
+0.8, where some ten of 64 bits differ and no trie can prune, so BANDS bands of ROWS MinHash values follow: a pair of
+similarity 0.8 shares one with probability 0.99997. All pairs
 of a bucket of up to `crowd` sequences are candidates. In a larger one each sequence is paired with the least, and the
 bucket is cut by the next band of the same tree, DEPTH bands at most. Once these pairs are linked, whoever is not in the
 largest group of its large bucket is compared with all others of the bucket, so a link is never lost by the cuts, and the
@@ -21,8 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Rolling, Scratch, buffers, find_words, mixed, signed, slices, word_hashes
+from .common import Rolling, Scratch, buffers, find_words, lean, mixed, signed, slices, whole_row, word_hashes
 from .components import connected_components
+from .simhash import links as trie_links
+from .simhash import majority
 
 BANDS, ROWS, DEPTH = 20, 4, 6
 _LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)
@@ -59,9 +64,10 @@ def _sketches(width: int):
                     bands[:, k // ROWS] = mixed(bands[:, k // ROWS] + least)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, BANDS), pa.int32()), signed(bands.reshape(-1)))
                 rest = [c for c in batch.schema.names if c != "text"]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in rest), signed(whole), lists], names=[*rest, "seq", "bands"])
+                prints = majority(values, np.diff(edges))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in rest), signed(whole), signed(prints), lists], names=[*rest, "seq", "fp", "bands"])
 
-    return run
+    return lean(run)
 
 
 def _sets(width: int):
@@ -73,7 +79,17 @@ def _sets(width: int):
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), signed(np.concatenate(each)))
                 yield pa.RecordBatch.from_arrays([batch.column("seq").slice(i, j - i), lists], names=["seq", "shingles"])
 
-    return run
+    return lean(run)
+
+
+def close_prints(sequences: DataFrame, scratch: Scratch, budget: int) -> DataFrame:
+    """(a, b): pairs of sequences(seq, fp) that connect all whose fingerprints differ in at most budget bits."""
+    least = scratch.write(sequences.groupBy("fp").agg(F.min("seq").alias("least")), sweep=False)
+    found = scratch.write(trie_links(least.select("fp"), scratch, budget))
+    a, b = least.toDF("a", "x"), least.toDF("b", "y")
+    across = found.join(a, "a").join(b, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    same = sequences.join(least, "fp").where("least < seq").select(F.col("least").alias("a"), F.col("seq").alias("b"))
+    return across.union(same)
 
 
 def candidates(prints: DataFrame, scratch: Scratch, crowd: int = 32) -> tuple[DataFrame, DataFrame]:
@@ -104,7 +120,7 @@ def left_over(large: DataFrame, roots: DataFrame) -> DataFrame:
     return few.join(member, "key").where("r <> root").select(F.least("s", "seq").alias("a"), F.greatest("s", "seq").alias("b")).distinct()
 
 
-def keep_one(docs: DataFrame, width: int = 5, fifths: int = 4) -> DataFrame:
+def keep_one(docs: DataFrame, width: int = 5, fifths: int = 4, budget: int = 2) -> DataFrame:
     """docs with one row of each group linked by a Jaccard similarity of fifths / 5 or more, that of the least doc_id.
 
     Of several rows with the least doc_id, one with the least hash of its text, then the least text, stays.
@@ -112,11 +128,12 @@ def keep_one(docs: DataFrame, width: int = 5, fifths: int = 4) -> DataFrame:
     scratch = Scratch(docs.sparkSession)
     text = F.coalesce("text", F.lit(""))
     ident = [F.col("doc_id").isNull().alias("_null"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("_id"), F.xxhash64(text).alias("_hash")]
-    rows = docs.select(*ident, text.alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
-    prints = scratch.write(rows.select("_null", "_id", "_hash", "text").mapInArrow(_sketches(width), "_null boolean, _id long, _hash long, seq long, bands array<long>"))
-    sequences = scratch.write(prints.groupBy("seq").agg(F.min(F.struct("_null", "_id", "_hash")).alias("first"), F.first("bands").alias("bands")))
+    rows = docs.select(*ident, text.alias("text"), whole_row(docs).alias("_row"))
+    prints = scratch.write(rows.select("_null", "_id", "_hash", "text").mapInArrow(_sketches(width), "_null boolean, _id long, _hash long, seq long, fp long, bands array<long>"))
+    sequences = scratch.write(prints.groupBy("seq").agg(F.min(F.struct("_null", "_id", "_hash")).alias("first"), F.first("fp").alias("fp"), F.first("bands").alias("bands")))
+    scratch.drop(prints)
     found, large = candidates(sequences.select("seq", "bands"), scratch)
-    pairs = scratch.write(found)
+    pairs = scratch.write(found.union(close_prints(sequences.select("seq", "fp"), scratch, budget)).distinct())
     asked = pairs.select(F.explode(F.array("a", "b")).alias("seq")).distinct().join(sequences.select("seq", "first.*"), "seq")
     # Rows of one id and hash have one text.
     texts = rows.select("_null", "_id", "_hash", "text").join(asked, ["_null", "_id", "_hash"]).select("seq", "text")

@@ -6,9 +6,9 @@ has fingerprint zero, linked like any other.
 
 Self-join: distinct fingerprints form a binary trie. Pairs of its nodes are traversed together; each step adds the bits
 by which the two differ, and a pair is dropped when these exceed the budget. The upper levels are walked by DataFrame
-operations: every fingerprint is sent to each node of some depth within the budget, and nodes with too many
-fingerprints are walked further down, so that a group of near copies is split however large it is. The lower levels are
-walked within a task, in numpy, on many node pairs at once. A task reports a spanning forest of the links it found,
+operations, level by level: fingerprints are joined with the nodes that exist on the next level and keep those within
+the budget, until a node is small enough, so that a group of near copies is split however large it is. The lower levels
+are walked within a task, in numpy, on many node pairs at once. A task reports a spanning forest of the links it found,
 not all pairs, and components are built over those.
 
 Null texts count as empty, null ids take part and sort as the largest (a group of them alone has a null component_id);
@@ -27,10 +27,12 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, buffers, find_words, signed, slices
+from .common import Scratch, buffers, find_words, lean, signed, slices, whole_row
 from .components import connected_components
 
 _LOWER = bytes(range(256)).lower()
+#: Bits of the first level of the trie that is walked, and of a step down.
+START, STEP = 8, 4
 
 
 def _fingerprints(width: int):
@@ -52,12 +54,12 @@ def _fingerprints(width: int):
                 first = np.repeat(where[:-1], shingles) + _ramp(shingles)
                 last = np.minimum(first + width, np.repeat(where[1:], shingles))
                 values = np.array([digest(joined[a:b], 42) for a, b in zip(begin[first].tolist(), (begin[last] - 1).tolist())], np.uint64)
-                out.append(_majority(values, shingles))
+                out.append(majority(values, shingles))
             prints = np.concatenate(out) if out else np.zeros(0, np.uint64)
             rest = [c for c in batch.schema.names if c != "text"]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), signed(prints)], names=[*rest, "fp"])
 
-    return run
+    return lean(run)
 
 
 def _ramp(counts: np.ndarray) -> np.ndarray:
@@ -65,7 +67,7 @@ def _ramp(counts: np.ndarray) -> np.ndarray:
     return np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
 
 
-def _majority(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+def majority(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The bits set in over half of each run of values."""
     full = np.flatnonzero(counts)
     out = np.zeros(len(counts), np.uint64)
@@ -171,38 +173,42 @@ def _prefix(fp: str, depth: int) -> str:
 def links(prints: DataFrame, scratch: Scratch, budget: int = 2, node: int = 256) -> DataFrame:
     """(a, b): links between distinct fingerprints prints(fp) that give all components at that budget.
 
-    node is the number of fingerprints aimed at in one node; nodes with four times as many are walked further down.
+    node is the number of fingerprints aimed at in one node. The walk starts with the node pairs at START bits and goes
+    down STEP bits at a time, for pairs only whose second node holds more than that many. A row of `sent` is one
+    fingerprint and one node that it meets, within the budget so far; nodes that hold nothing are met by none.
     """
     if not 0 <= budget <= 3:
         raise ValueError("budget must be 0 to 3")
-    spark, n = prints.sparkSession, prints.count()
-    depth, step = max(4, min(40, (max(n, 1) // node).bit_length())), 4
-    masks = [sum(1 << b for b in bits) for k in range(budget + 1) for bits in combinations(range(depth), k)]
-    sent = prints.selectExpr("fp", f"{_prefix('fp', depth)} AS here").select("fp", "here", F.explode(F.lit(masks)).alias("mask")).selectExpr("fp", "here ^ mask AS node", "mask = 0 AS own").where("own OR node < " + _prefix("fp", depth))
-    done = []
-    while depth + step <= 64:
-        crowd = scratch.write(sent.where("own").groupBy("node").count().where(f"count > {4 * node}").select("node"), sweep=False)
-        if crowd.isEmpty():
+    spark, done = prints.sparkSession, []
+    masks = [sum(1 << b for b in bits) for k in range(budget + 1) for bits in combinations(range(START), k)]
+    depth, own = START, _prefix("fp", START)
+    nodes = scratch.write(prints.groupBy(F.expr(own).alias("node")).agg(F.count("*").alias("n")), sweep=False)
+    met = prints.select("fp", F.explode(F.lit(masks)).alias("mask")).selectExpr("fp", f"{own} ^ mask AS node").where(f"node <= {own}")
+    # Pairs are walked from the node with the greater prefix; a node meets itself, too.
+    sent = met.join(nodes, "node").select("fp", "node", "n")
+    while depth + STEP <= 64:
+        if nodes.where(f"n > {4 * node}").isEmpty():
             break
-        sent = scratch.write(sent, sweep=False) if not done else sent
-        done.append(sent.join(crowd, "node", "left_anti").withColumn("depth", F.lit(depth)))
-        # Children of a crowded node, as far as the budget allows, and not above the fingerprint's own.
-        depth += step
-        down = sent.join(crowd, "node").select("fp", F.explode(F.expr(f"transform(sequence(0L, {(1 << step) - 1}L), c -> shiftleft(node, {step}) | c)")).alias("node"))
-        own = _prefix("fp", depth)
-        sent = scratch.write(down.where(f"bit_count(node ^ {own}) <= {budget} AND node <= {own}").selectExpr("fp", "node", f"node = {own} AS own"), sweep=False)
-    whole = sent.withColumn("depth", F.lit(depth))
+        sent = scratch.write(sent, sweep=False)
+        done.append(sent.where(f"n <= {4 * node}").select("fp", "node", F.lit(depth).alias("depth")))
+        down = sent.where(f"n > {4 * node}").select("fp", F.col("node").alias("parent"))
+        crowd = nodes.where(f"n > {4 * node}").select(F.col("node").alias("parent"))
+        depth, own = depth + STEP, _prefix("fp", depth + STEP)
+        inside = prints.withColumn("parent", F.expr(_prefix("fp", depth - STEP))).join(crowd, "parent")
+        nodes = scratch.write(inside.groupBy("parent", F.expr(own).alias("node")).agg(F.count("*").alias("n")), sweep=False)
+        sent = down.join(nodes, "parent").where(f"bit_count(node ^ {own}) <= {budget} AND node <= {own}").select("fp", "node", "n")
+    whole = sent.select("fp", "node", F.lit(depth).alias("depth"))
     for d in done:
         whole = whole.unionByName(d)
+    # own says that the fingerprint lies in the node.
+    whole = whole.withColumn("own", F.expr("shiftrightunsigned(fp, 64 - depth) = node"))
     # Walking costs more than the rows' bytes tell, so tasks are not merged by size.
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
     return whole.repartition(tasks, "depth", "node").groupBy("depth", "node").applyInPandas(_join_node(budget), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, width: int = 3, budget: int = 2, node: int = 256) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits) and component_id, the least doc_id reachable by links of at most budget bits."""
-    scratch = Scratch(docs.sparkSession)
-    prints = scratch.write(fingerprints(docs, width))
+def components(prints: DataFrame, scratch: Scratch, budget: int = 2, node: int = 256) -> DataFrame:
+    """(fp, component_id) for every fingerprint of prints(doc_id, fp): the least doc_id reachable by links of at most budget bits."""
     least = scratch.write(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), sweep=False)
     found = scratch.write(links(least.select("fp"), scratch, budget, node))
     roots = scratch.write(connected_components(found, scratch), sweep=False)
@@ -210,6 +216,14 @@ def near_duplicates(docs: DataFrame, width: int = 3, budget: int = 2, node: int
     names = scratch.write(labelled.groupBy("root").agg(F.min("least").alias("component_id")), sweep=False)
     by_print = scratch.write(labelled.join(names, "root").select("fp", "component_id"))
     scratch.drop(least, found, roots, labelled, names)
+    return by_print
+
+
+def near_duplicates(docs: DataFrame, width: int = 3, budget: int = 2, node: int = 256) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits) and component_id, the least doc_id reachable by links of at most budget bits."""
+    scratch = Scratch(docs.sparkSession)
+    prints = scratch.write(fingerprints(docs, width))
+    by_print = components(prints, scratch, budget, node)
     return prints.join(by_print, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -220,10 +234,10 @@ def keep_one(docs: DataFrame, width: int = 3, budget: int = 2) -> DataFrame:
     the least fingerprint, then the least text, stays.
     """
     ident = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62)))
-    row = docs.select(ident.alias("doc_id"), "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
-    found = near_duplicates(row.select("doc_id", "text"), width, budget)
-    stays = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "fingerprint")).alias("s")).select(F.col("s.doc_id").alias("doc_id"), F.expr("CAST(conv(s.fingerprint, 16, -10) AS BIGINT)").alias("fp"))
-    kind = row.schema["_row"].dataType.simpleString()
-    prints = row.mapInArrow(_fingerprints(width), f"doc_id long, _row {kind}, fp long").join(stays, ["doc_id", "fp"])
-    place = F.row_number().over(Window.partitionBy("doc_id", "fp").orderBy(F.xxhash64("_row.text"), "_row.text"))
-    return prints.withColumn("_place", place).where("_place = 1").select("_row.*")
+    rows = docs.select(ident.alias("doc_id"), F.xxhash64("text").alias("_hash"), "text", whole_row(docs).alias("_row"))
+    scratch = Scratch(docs.sparkSession)
+    prints = scratch.write(rows.select("doc_id", "_hash", "text").mapInArrow(_fingerprints(width), "doc_id long, _hash long, fp long"))
+    found = components(prints, scratch, budget)
+    stays = prints.join(found, "fp").groupBy("component_id").agg(F.min(F.struct("doc_id", "fp", "_hash")).alias("s")).select("s.doc_id", "s._hash")
+    place = F.row_number().over(Window.partitionBy("doc_id", "_hash").orderBy("text"))
+    return rows.join(stays, ["doc_id", "_hash"]).withColumn("_place", place).where("_place = 1").select("_row.*")

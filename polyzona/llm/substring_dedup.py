@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, Scratch, buffers, find_words, signed, slices, word_hashes
+from .common import Rolling, Scratch, buffers, find_words, lean, signed, slices, word_hashes
 
 
 def _sequences(batch: pa.RecordBatch, length: int) -> Iterator[tuple]:
@@ -59,7 +59,7 @@ def _first_level(length: int, half: int):
                 new[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
                 yield pa.RecordBatch.from_arrays([signed(key[new]), pa.array(ids[i + doc[new]])], names=["key", "doc_id"])
 
-    return run
+    return lean(run)
 
 
 def _last_level(length: int, half: int):
@@ -81,7 +81,7 @@ def _last_level(length: int, half: int):
                         keys_here = np.unique(full[at])
                         yield pa.RecordBatch.from_arrays([signed(keys_here), pa.array(np.full(len(keys_here), ids[i + k]))], names=["key", "doc_id"])
 
-    return run
+    return lean(run)
 
 
 def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -126,7 +126,7 @@ def _mark(length: int, texts: bool):
                     out["kept"] = pa.array(kept, pa.string())
                 yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
 
-    return run
+    return lean(run)
 
 
 def dedup_substrings(docs: DataFrame, length: int = 13, texts: bool = False) -> DataFrame:

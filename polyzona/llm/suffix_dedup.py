@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, Scratch, buffers, mixed, signed, slices
+from .common import Rolling, Scratch, buffers, lean, mixed, signed, slices
 
 REACH, GRAM = 128, 32
 _SYMBOL = mixed(np.arange(256, dtype=np.uint64) + np.uint64(5000))
@@ -122,7 +122,7 @@ def _runs(length: int, names_only: bool):
                     names=["short", "long", "key", "lo", "hi"],
                 )
 
-    return run
+    return lean(run)
 
 
 def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -151,7 +151,7 @@ def _strings(length: int):
                 values = strings.hashes(at + own[row])
                 yield pa.RecordBatch.from_arrays([signed(values), pa.array(keys[i + row]), pa.array(at.astype(np.int32))], names=["name", "key", "at"])
 
-    return run
+    return lean(run)
 
 
 def _mark(length: int, texts: bool):
@@ -179,7 +179,7 @@ def _mark(length: int, texts: bool):
                 out["kept"] = pa.array(kept, pa.binary())
             yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
 
-    return run
+    return lean(run)
 
 
 def dedup_bytes(docs: DataFrame, length: int = 400, texts: bool = False) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, buffers, find_words, slices, word_hashes
+from .common import Rolling, buffers, find_words, lean, slices, word_hashes
 
 #: ASCII: letters to lower case, everything but letters and digits to a space; bytes of other letters stay.
 _PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if c > 127 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -164,7 +164,7 @@ def _search(items: list[tuple[int, bytes]], tile: int, threshold: float, least:
                 kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["doc_id", "item_id", "covered", "item_tokens", "tiles", "longest"])
 
-    return run
+    return lean(run)
 
 
 def blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[int, bytes]]]:

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import buffers, slices
+from .common import buffers, lean, slices
 
 BLOCK = 512
 _HEAD = struct.Struct("<4sIIIQ")
@@ -208,7 +208,7 @@ def _write(file: str, end_id: int, segment_ids: int, room: int):
         if names:
             yield segment()
 
-    return run
+    return lean(run)
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, end_id: int, segment_ids: int = 1 << 16, room: int = 700_000) -> None:
@@ -237,7 +237,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_tokens(spark: SparkSession, path: str, ids: bool = True) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 and, with ids, the ids as little-endian bytes, decoded from the files."""
     files = spark.read.schema("part int, seq int, n_ids long, n_docs int, image binary").parquet(path)
-    docs = files.select("part", "seq", "image").mapInArrow(_read, "part int, seq int, doc_id long, inside long, n_tokens long, ids binary")
+    docs = files.select("part", "seq", "image").mapInArrow(lean(_read), "part int, seq int, doc_id long, inside long, n_tokens long, ids binary")
     docs = docs.withColumn("ids_crc32", F.crc32("ids"))
     docs = docs if ids else docs.drop("ids")
     # Prefix sums of the segments' sizes within a part, and of the parts' sizes, of which there are as many as tasks wrote.

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, find_words, slices, word_hashes
+from .common import buffers, find_words, lean, slices, word_hashes
 from .tiling import plain
 
 CATEGORIES = ("low_quality", "toxic")
@@ -157,7 +157,7 @@ def _score(chain: Chain):
             p = 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x) for x in p)], names=["doc_id", *(f"p_{c}" for c in CATEGORIES)])
 
-    return run
+    return lean(run)
 
 
 def score_toxicity(docs: DataFrame, chain: Chain, threshold: float = 0.5) -> DataFrame:

@@ -306,11 +306,29 @@ def test_special_tokens_are_encoded_whole(text):
 # ---------------------------------------------------------------- 9
 
 
-def test_targets():
-    got = mixing.targets([("b", 100), (None, 10), ("a", 1000), ("c", 1)])
-    assert [g[0] for g in got] == ["a", "b", "c", None]
-    assert abs(sum(g[2] for g in got) - 1111) < 1e-6 and all(g[2] <= 3 * g[1] + 1e-9 for g in got)
-    assert mixing.targets([]) == [] and mixing.targets([("a", 0)]) == [("a", 0, 0.0)]
+def test_targets(spark):
+    def targets(sizes):
+        got = mixing.targets(spark.createDataFrame(sizes, "source string, source_size long")).collect()
+        return sorted(got, key=lambda r: (r.source is None, r.source or ""))
+
+    got = targets([("b", 100), (None, 10), ("a", 1000), ("c", 1)])
+    assert [g.source for g in got] == ["a", "b", "c", None]
+    assert abs(sum(g.target for g in got) - 1111) < 1e-6 and all(g.target <= 3 * g.source_size + 1e-9 for g in got)
+    assert targets([]) == [] and targets([("a", 0)])[0].target == 0
+    # Brute force: give by weight, cap, and give again what is left over.
+    sizes = [(f"s{i:02d}", (i * 37) % 101 * 10 ** (i % 4)) for i in range(30)]
+    left, open_, want = float(sum(n for _, n in sizes)), list(range(30)), {}
+    while open_:
+        full = sum(i % 3 + 1 for i in open_)
+        over = [i for i in open_ if left * (i % 3 + 1) / full >= 3 * sizes[i][1]]
+        if not over:
+            want |= {i: left * (i % 3 + 1) / full for i in open_}
+            break
+        for i in over:
+            want[i] = 3.0 * sizes[i][1]
+        left -= sum(want[i] for i in over)
+        open_ = [i for i in open_ if i not in over]
+    assert all(abs(r.target - want[i]) < 1e-6 * max(1, want[i]) for i, r in enumerate(targets(sizes)))
 
 
 def test_mix(spark, docs, empty):
@@ -324,7 +342,8 @@ def test_mix(spark, docs, empty):
         t = by.setdefault(r.source, [r.target, 0])
         t[1] += r.taken
     assert all(abs(target - taken) <= 10 for target, taken in by.values())
-    assert bag(mixing.mix(df).select("doc_id", "taken")) == Counter((r.doc_id, r.taken) for r in got)
+    want = Counter((r.doc_id, r.taken) for r in got)
+    assert bag(mixing.mix(df).select("doc_id", "taken")) == want and bag(mixing.mix(df, aim=16).select("doc_id", "taken")) == want
     drawn = mixing.draw(df)
     assert drawn.count() == sum(r.taken // r["size"] for r in got) and drawn.columns == df.columns
     assert mixing.mix(docs).count() == len(rows()) and mixing.mix(empty).count() == 0 and mixing.draw(empty).count() == 0

@@ -5,7 +5,9 @@ from collections import Counter
 
 import corpus_pipeline
 from polyzona.llm import queries
-from tests.llm.test_operators import brute_components, brute_print
+from pyspark.sql import functions as F
+from tests.llm.test_operators import brute_components
+from tests.llm.test_shingles import brute_set, similar
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 
@@ -21,7 +23,7 @@ def test_stages(spark, data):
 
     single = stages["simhash_near_dedup"](spark, good, data)
     ids = sorted(rows)
-    roots = brute_components([brute_print(rows[d]) for d in ids], lambda a, b: (a ^ b).bit_count() <= 2)
+    roots = brute_components([brute_set(rows[d]) for d in ids], similar)
     least = {}
     for d, r in zip(ids, roots):
         least[r] = min(least.get(r, d), d)
@@ -47,8 +49,24 @@ def test_stages(spark, data):
         at += r.n_tokens
 
 
-def test_run(spark, data):
-    assert corpus_pipeline.run(spark, data).count() > 0
+def test_run_over_hard_cases(spark, data, tmp_path):
+    """Nulls in any column, blanks, a long text, repeated ids and rows, odd column names; then an empty table."""
+    docs = spark.read.parquet(f"{data}/documents.parquet").limit(60)
+    text = " ".join(f"word{i}" for i in range(40))
+    odd = [(None, text + " x", None, None, None), (10**6, None, "en", "a", 1), (10**6, " \n", "en", "a", 1), (10**6 + 1, text, None, "a", None)]
+    odd += [(10**6 + 1, text, None, "a", None), (10**6 + 2, text * 900, "en", None, 5)]
+    extra = {"extra col": F.lit(1), "a.b": F.lit("x"), "c:d`e": F.lit(None).cast("int"), "_row": F.lit(2), "size": F.lit(3), "seq": F.lit(4), "_key": F.lit(5), "_source": F.lit(6)}
+    docs = docs.union(spark.createDataFrame(odd, docs.schema)).withColumns(extra)
+    for name, table in (("odd", docs), ("none", docs.limit(0))):
+        table.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.read.parquet(f"{data}/benchmark.parquet").write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+    seen = spark.read.parquet(f"{tmp_path}/odd/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, seen, f"{tmp_path}/odd")
+        assert out.columns == docs.columns, name
+    out = corpus_pipeline.run(spark, f"{tmp_path}/odd").collect()
+    assert 10**6 + 1 in {r.doc_id for r in out} and 10**6 not in {r.doc_id for r in out}
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
 
 
 def test_oracles_are_for_queries():

@@ -64,7 +64,7 @@ def test_large_buckets_are_cut(spark):
         w = list(base)
         w[rng.randrange(300)] = f"z{i}"
         table.append((i, " ".join(w), "en", "a", 1))
-    prints = spark.createDataFrame(table, SCHEMA).select("text").mapInArrow(shingles._sketches(5), "seq long, bands array<long>")
+    prints = spark.createDataFrame(table, SCHEMA).select("text").mapInArrow(shingles._sketches(5), "seq long, fp long, bands array<long>")
     assert shingles.candidates(prints, Scratch(spark), crowd=8)[0].count() < 200 * 199 / 4
     assert [r.doc_id for r in shingles.keep_one(spark.createDataFrame(table, SCHEMA)).collect()] == [0]
 
