@@ -1,4 +1,4 @@
-"""A training corpus in six stages over documents(doc_id, text, lang, source, n_chars).
+"""A training corpus in five stages over documents(doc_id, text, lang, source, n_chars).
 
 Each stage is a function of (spark, docs, sf_dir), written as Parquet and read back as the next one's docs. All but the
 last return rows of documents; the last writes token files and returns what it reads from these.
@@ -9,11 +9,10 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from polyzona.llm.common import Scratch
 from polyzona.llm import shingles
+from polyzona.llm.common import Scratch
 from polyzona.llm.mixing import draw
 from polyzona.llm.quality import keep_good
-from polyzona.llm.simhash import keep_one
 from polyzona.llm.tiling import drop_contaminated
 from polyzona.llm.token_files import read_tokens, write_tokens
 
@@ -24,13 +23,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies by op10's rule (three-word shingles, two bits) stays."""
-    return keep_one(docs)
-
-
-def shingle_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group with a similarity of 0.8 or more by five-word shingles stays."""
-    return shingles.keep_one(docs)
+    """One document of each group of near copies stays: five-word shingles, a similarity of 0.8 or more."""
+    return shingles.keep_one(docs, width=5, fifths=4)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +47,6 @@ def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("quality_rules", quality_rules),
     ("simhash_near_dedup", simhash_near_dedup),
-    ("shingle_near_dedup", shingle_near_dedup),
     ("benchmark_decontamination", benchmark_decontamination),
     ("source_mixing", source_mixing),
     ("token_files", token_files),
