@@ -97,7 +97,7 @@ def _decide(rows: DataFrame, known: DataFrame, seed: int) -> DataFrame:
     return plain.unionByName(last.withColumn("times", F.col("epochs") + fits.cast("long")).drop("_size", "_inside"))
 
 
-def mix(docs: DataFrame, seed: int = 7, weights: tuple[int, ...] = (1, 2, 3), share: float = 1.0, epochs: int = 3, aim: int = 20_000) -> DataFrame:
+def mix(docs: DataFrame, seed: int = 7, weights: tuple[int, ...] = (1, 2, 3), share: float = 1.0, epochs: int = 3, aim: int = 1000) -> DataFrame:
     """docs(doc_id, source, text, ...) with size, source_size, target and taken (words taken, repeats counted)."""
     made = ("size", "source_size", "target", "taken")
     known = plan(docs, Scratch(docs.sparkSession), seed, weights, share, epochs, aim)
@@ -107,7 +107,7 @@ def mix(docs: DataFrame, seed: int = 7, weights: tuple[int, ...] = (1, 2, 3), sh
     return rows.withColumn("_size", size).select(*kept, F.col("_size").alias("size"), "source_size", "target", (F.col("_size") * F.col("times")).alias("taken"))
 
 
-def draw(docs: DataFrame, seed: int = 7, weights: tuple[int, ...] = (1, 2, 3), share: float = 1.0, epochs: int = 3, aim: int = 20_000) -> DataFrame:
+def draw(docs: DataFrame, seed: int = 7, weights: tuple[int, ...] = (1, 2, 3), share: float = 1.0, epochs: int = 3, aim: int = 1000) -> DataFrame:
     """The mixture itself: each row of docs as often as it is taken, in the columns of docs; rows without words go."""
     known = plan(docs, Scratch(docs.sparkSession), seed, weights, share, epochs, aim)
     rows = _decide(docs.select("doc_id", "source", "text", whole_row(docs).alias("_row")), known, seed)

@@ -9,8 +9,10 @@ Candidates come from two searches, made from one pass over the texts. SimHash fi
 similarity 0.8 shares one with probability 0.99997. All pairs
 of a bucket of up to `crowd` sequences are candidates. In a larger one each sequence is paired with the least, and the
 bucket is cut by the next band of the same tree, DEPTH bands at most. Once these pairs are linked, whoever is not in the
-largest group of its large bucket is compared with all others of the bucket, so a link is never lost by the cuts, and the
-work is that of the few that are left over, not the square of a group.
+largest group of its large bucket is searched for exactly among all members of such buckets, so a link is never lost by
+the cuts: shingles are ordered from rare to common, and of two sets as similar as asked for, the first ones (as many as
+their sizes leave room for) have one in common. What is unique to a text comes first and meets nothing, so the work is
+not the square of a group.
 
 Null texts count as empty, null ids take part and sort as the largest. An empty table gives an empty result.
 """
@@ -111,13 +113,26 @@ def candidates(prints: DataFrame, scratch: Scratch, crowd: int = 32) -> tuple[Da
     return found.distinct(), large
 
 
-def left_over(large: DataFrame, roots: DataFrame) -> DataFrame:
-    """(a, b), a < b: pairs in the large buckets of one not in the bucket's largest group and one of another group."""
+def left_over(large: DataFrame, roots: DataFrame, sets: DataFrame, scratch: Scratch, fifths: int) -> DataFrame:
+    """(a, b), a < b: pairs that may be similar, of one not in the largest group of its large bucket and one of another group.
+
+    For sizes x and y, fifths / 5 asks for an overlap of fifths * (x + y) / (5 + fifths) or more. Sizes fall into classes
+    5 % wide; an entry is a shingle of a set for one class of partners, if it is among the set's first ones for that class.
+    """
     member = large.join(roots, large.seq == roots.node, "left").select("key", "seq", F.coalesce("root", "seq").alias("root"))
     groups = member.groupBy("key", "root").agg(F.count("*").alias("n"))
     main = groups.groupBy("key").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.count("*").alias("groups")).where("groups > 1")
-    few = member.join(main.select("key", "main"), "key").where("root <> main").select("key", F.col("seq").alias("s"), F.col("root").alias("r"))
-    return few.join(member, "key").where("r <> root").select(F.least("s", "seq").alias("a"), F.greatest("s", "seq").alias("b")).distinct()
+    asked = scratch.write(member.join(main.select("key", "main"), "key").groupBy("seq", "root").agg(F.max(F.expr("root <> main")).alias("left")), sweep=False)
+    held = scratch.write(asked.join(sets, "seq").select("seq", "root", "left", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle")), sweep=False)
+    common = held.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
+    of_one = Window.partitionBy("seq")
+    ranked = held.join(common, "shingle").withColumn("rank", F.col("n") - F.count("*").over(of_one) + F.row_number().over(of_one.orderBy("df", "shingle")))
+    most = f"(n + 1 - rank) * {(5 + fifths) / fifths} - n"
+    classes = f"IF({most} >= n * {fifths / 5}, sequence(CAST(floor(ln(n * {fifths / 5}) / ln(1.05)) AS INT), CAST(floor(ln({most} + 1e-6) / ln(1.05)) AS INT)), array())"
+    entry = scratch.write(ranked.where(f"{most} >= n * {fifths / 5} AND {most} > 0").select("seq", "root", "left", "shingle", F.expr("CAST(floor(ln(n) / ln(1.05)) AS INT)").alias("own"), F.explode(F.expr(classes)).alias("other")))
+    x = entry.where("left").select("shingle", "own", "other", F.col("seq").alias("s"), F.col("root").alias("r"))
+    y = entry.select("shingle", F.col("own").alias("other"), F.col("other").alias("own"), "seq", "root")
+    return x.join(y, ["shingle", "own", "other"]).where("r <> root").select(F.least("s", "seq").alias("a"), F.greatest("s", "seq").alias("b")).distinct()
 
 
 def keep_one(docs: DataFrame, width: int = 5, fifths: int = 4, budget: int = 2) -> DataFrame:
@@ -149,7 +164,7 @@ def keep_one(docs: DataFrame, width: int = 5, fifths: int = 4, budget: int = 2)
     links = linked(pairs)
     roots = scratch.write(connected_components(links, scratch), sweep=False)
     if not large.isEmpty():
-        rest = scratch.write(left_over(large, roots).join(pairs, ["a", "b"], "left_anti"))
+        rest = scratch.write(left_over(large, roots, sets, scratch, fifths).join(pairs, ["a", "b"], "left_anti"))
         roots = scratch.write(connected_components(links.union(linked(rest)), scratch), sweep=False)
     named = sequences.join(roots, sequences.seq == roots.node, "left").select("first", F.coalesce("root", "seq").alias("root"))
     stays = named.groupBy("root").agg(F.min("first").alias("first")).select("first.*")

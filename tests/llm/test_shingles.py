@@ -71,3 +71,18 @@ def test_large_buckets_are_cut(spark):
 
 def test_empty(spark):
     assert shingles.keep_one(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_left_over_pairs_hold_all_that_are_similar(spark):
+    rng = random.Random(5)
+    sets, roots = [], []
+    for i in range(60):
+        n = rng.randrange(5, 60)
+        sets.append(set(range(i % 4 * 100, i % 4 * 100 + n)) - {rng.randrange(400) for _ in range(i % 3)} | {9999 + i} or {1})
+    frame = spark.createDataFrame([(i, sorted(s)) for i, s in enumerate(sets)], "seq long, shingles array<long>")
+    large = spark.createDataFrame([(1, i) for i in range(60)], "key long, seq long")
+    roots = spark.createDataFrame([(i, 0) for i in range(0, 60, 7)], "node long, root long")
+    root = [0 if i % 7 == 0 else i for i in range(60)]
+    got = {tuple(r) for r in shingles.left_over(large, roots, frame, Scratch(spark), 4).collect()}
+    want = {(a, b) for b in range(60) for a in range(b) if root[a] != root[b] and similar(sets[a], sets[b])}
+    assert want and want <= got and len(got) < 60 * 59 / 4
