@@ -1,14 +1,15 @@
 """Substring dedup by level-wise doubling over word windows.
 
 A window of `length` words is removed where its word sequence also starts in a document with a smaller id. Long windows
-are rare, so the search climbs: windows of half the length are compared first, and those repeated at one length alone
-are extended to twice that length, until the wanted length is reached or no candidates survive. On the first level a
-window of `length` words is represented by the least hash among its half-length windows (equal windows have equal
-least ones), which a run of neighbouring windows shares: about a quarter of the positions are shuffled, none is lost.
+are rare, so the search climbs: windows of `start` words are compared first, and those repeated at one length alone are
+extended to twice that length, again and again, until the wanted length is reached or no candidates survive. On a level
+a window of `length` words is represented by the least hash among its windows of that level's width (equal windows have
+equal least ones), which a run of neighbouring windows shares: about a quarter of the positions are shuffled on the
+first level, none is lost, and at the wanted length a window represents itself.
 
 Null and blank texts have no words. Texts shorter than `length` keep all. A null doc_id neither gives nor takes
-matches. Rows with the same doc_id never match each other, since neither id is smaller. Windows are compared by 64-bit
-hashes: n candidate windows give about n * n / 2**65 false matches, less than one up to some five billion of them.
+matches. Rows with the same doc_id never match each other, since neither id is smaller. Windows of the wanted length are
+compared by 128-bit hashes, those of the levels before, which only say what is looked at further, by 64-bit ones.
 """
 
 from __future__ import annotations
@@ -24,6 +25,9 @@ from pyspark.sql import functions as F
 from .common import Rolling, Scratch, buffers, find_words, lean, signed, slices, word_hashes
 
 
+_SECOND = Rolling(102)
+
+
 def _sequences(batch: pa.RecordBatch, length: int) -> Iterator[tuple]:
     """For slices of a batch: first row, data, offsets, word starts, ends, rows, word hashes, and which windows are whole."""
     data, off = buffers(batch.column("text"))
@@ -36,50 +40,47 @@ def _sequences(batch: pa.RecordBatch, length: int) -> Iterator[tuple]:
         yield i, j, piece, own, starts, ends, row, words, whole
 
 
-def _least(words: np.ndarray, length: int, half: int, hasher: Rolling) -> np.ndarray:
-    """For each window of that length, the least hash of the half-length windows in it."""
-    inner = hasher.windows(words, half)
-    if len(words) < length:
-        return np.zeros(0, np.uint64)
-    return np.lib.stride_tricks.sliding_window_view(inner, length - half + 1).min(axis=1)
+def widths(length: int, start: int) -> list[int]:
+    """Widths of the levels: start, doubled until the wanted length."""
+    out = [min(start, length)]
+    while out[-1] < length:
+        out.append(min(2 * out[-1], length))
+    return out
+
+
+def _least(words: np.ndarray, length: int, width: int) -> np.ndarray:
+    """For each window of that length, the least hash of the windows of that width in it."""
+    inner = Rolling(width).windows(words, width)
+    if len(words) < length or width == length:
+        return inner if len(words) >= length else np.zeros(0, np.uint64)
+    return np.lib.stride_tricks.sliding_window_view(inner, length - width + 1).min(axis=1)
+
 
+def _level(length: int, before: int | None, width: int):
+    """(key, second, doc_id): the representatives at that width of the windows whose representatives at the width before
+    are in keys; second completes the hashes of whole windows and is 0 on the levels before."""
 
-def _first_level(length: int, half: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Rolling(half)
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            for i, _, _, _, _, _, row, words, whole in _sequences(batch, length):
-                least = _least(words, length, half, hasher)
+            if before:
+                keys, lists = _flat(batch.column("keys"))
+            for i, j, _, _, _, _, row, words, whole in _sequences(batch, length):
                 at = np.flatnonzero(whole)
+                if before and len(at):
+                    known, kept = _least(words, length, before).view(np.int64), []
+                    where = np.searchsorted(row[at], np.arange(j - i + 1))
+                    for k in range(j - i):
+                        mine = at[where[k] : where[k + 1]]
+                        kept.append(mine[np.isin(known[mine], keys[lists[i + k] : lists[i + k + 1]])])
+                    at = np.concatenate(kept)
                 if not len(at):
                     continue
-                key, doc = least[at], row[at]
+                key, doc = _least(words, length, width)[at], row[at]
+                second = _SECOND.windows(words, length)[at] if width == length else np.zeros(len(at), np.uint64)
                 new = np.ones(len(at), bool)
                 new[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
-                yield pa.RecordBatch.from_arrays([signed(key[new]), pa.array(ids[i + doc[new]])], names=["key", "doc_id"])
-
-    return lean(run)
-
-
-def _last_level(length: int, half: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, one = Rolling(half), Rolling(101)
-        for batch in batches:
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            keys, lists = _flat(batch.column("keys"))
-            for i, j, _, _, _, _, row, words, whole in _sequences(batch, length):
-                least = _least(words, length, half, hasher).view(np.int64)
-                full = one.windows(words, length)
-                where = np.searchsorted(row, np.arange(j - i + 1))
-                for k in range(j - i):
-                    a, b = where[k], max(where[k], where[k + 1] - length + 1)
-                    if a == b:
-                        continue
-                    at = a + np.flatnonzero(np.isin(least[a:b], keys[lists[i + k] : lists[i + k + 1]]))
-                    if len(at):
-                        keys_here = np.unique(full[at])
-                        yield pa.RecordBatch.from_arrays([signed(keys_here), pa.array(np.full(len(keys_here), ids[i + k]))], names=["key", "doc_id"])
+                yield pa.RecordBatch.from_arrays([signed(key[new]), signed(second[new]), pa.array(ids[i + doc[new]])], names=["key", "second", "doc_id"])
 
     return lean(run)
 
@@ -94,7 +95,7 @@ def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def _mark(length: int, texts: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one = Rolling(101)
+        one = Rolling(length)
         for batch in batches:
             keys, lists = _flat(batch.column("keys"))
             for i, j, piece, own, starts, ends, row, words, whole in _sequences(batch, length):
@@ -129,25 +130,27 @@ def _mark(length: int, texts: bool):
     return lean(run)
 
 
-def dedup_substrings(docs: DataFrame, length: int = 13, texts: bool = False) -> DataFrame:
+def dedup_substrings(docs: DataFrame, length: int = 13, texts: bool = False, start: int = 7) -> DataFrame:
     """One row per row of docs(doc_id, text): doc_id, n_words, n_removed, n_spans, kept_sha256 and, with texts, kept."""
-    if length < 2:
-        raise ValueError("length must be 2 or more")
-    spark, half = docs.sparkSession, (length + 1) // 2
-    scratch = Scratch(spark)
+    if length < 2 or start < 1:
+        raise ValueError("length must be 2 or more, start 1 or more")
+    scratch = Scratch(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    known = docs.where("doc_id IS NOT NULL")
-
-    # Level 1: half-length windows that start in two documents or more.
-    short = known.mapInArrow(_first_level(length, half), "key long, doc_id long")
-    repeated = scratch.write(short.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("key"))
-    found = scratch.write(short.join(repeated, "key").groupBy("doc_id").agg(F.collect_set("key").alias("keys")))
-    scratch.drop(repeated)
-
-    # Level 2: only those are extended to the whole length.
-    long = scratch.write(known.join(found, "doc_id").mapInArrow(_last_level(length, half), "key long, doc_id long"))
-    first = scratch.write(long.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").drop("hi"))
-    victims = scratch.write(long.join(first, "key").where("lo < doc_id").groupBy("doc_id").agg(F.collect_set("key").alias("keys")))
-    scratch.drop(found, long, first)
+    rows, schema, before = docs.where("doc_id IS NOT NULL"), "key long, second long, doc_id long", None
+    for width in widths(length, start):
+        level = rows.mapInArrow(_level(length, before, width), schema)
+        # The first level is computed twice, since it is too large to write; those after it are small.
+        level = scratch.write(level) if before else level
+        ends = level.groupBy("key", "second").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").drop("hi")
+        first = scratch.write(ends if width == length else ends.select("key"))
+        if width == length:
+            found = level.join(first, ["key", "second"]).where("lo < doc_id")
+        else:
+            found = level.drop("second").join(first, "key")
+        found = scratch.write(found.groupBy("doc_id").agg(F.collect_set("key").alias("keys")))
+        scratch.drop(first)
+        if width == length or found.isEmpty():
+            break
+        rows, before = docs.where("doc_id IS NOT NULL").join(found, "doc_id"), width
     out = "doc_id long, n_words long, n_removed long, n_spans long, kept_sha256 string" + (", kept string" if texts else "")
-    return docs.join(victims, "doc_id", "left").select("doc_id", "text", "keys").mapInArrow(_mark(length, texts), out)
+    return docs.join(found, "doc_id", "left").select("doc_id", "text", "keys").mapInArrow(_mark(length, texts), out)
