@@ -104,10 +104,10 @@ def lean(run: Callable) -> Callable:
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes and int64 offsets of a string column; nulls are empty."""
+    """Bytes and int64 offsets of a string or binary column; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = column.fill_null("").cast(pa.large_string())
+    column = column.fill_null(b"").cast(pa.large_binary()) if pa.types.is_binary(column.type) else column.fill_null("").cast(pa.large_string())
     raw = column.buffers()
     off = np.frombuffer(raw[1], np.int64)[column.offset : column.offset + len(column) + 1] if raw[1] else np.zeros(1, np.int64)
     return (np.frombuffer(raw[2], np.uint8) if raw[2] else np.zeros(0, np.uint8)), off

@@ -12,10 +12,15 @@ sample, and equal neighbours are compared:
 1. samples are named by the bytes after them that all their strings have in common; names found once go;
 2. runs of positions are named by all the bytes of their strings; runs of the same name are repeats as a whole;
 3. of names from step 1 with a run that is left, that run and one run for each name of step 2 are taken byte by byte:
-   strings of equal hash are repeats.
+   strings of equal name are repeats.
+
+This is done twice. Strings of `passage` bytes come first: where they repeat is a result of its own (n_passage), since
+many repeated passages are shorter than `length`. A longer string that repeats consists of shorter ones that repeat, so
+the second search sees those pieces of the texts alone in which they repeat often enough in a row.
 
 The textbook form (triples at positions 1 and 2 modulo 3, sorted, recursively renamed, for every byte) is not used: see
-the README for its figures. Names are 64-bit hashes: n names give about n * n / 2**65 false matches.
+the README for its figures. Names in steps 2 and 3 have 128 bits, so that 10**12 of them give no false match; those of
+step 1 have 64 bits, which decide only what is looked at.
 
 Null texts are empty; texts shorter than `length` keep all. Rows are known by a hash of doc_id and text: equal rows are
 occurrences of their own, and share their result. Bytes that are left are hashed, or returned, as they are.
@@ -35,6 +40,7 @@ from .common import Rolling, Scratch, buffers, lean, mixed, signed, slices
 
 REACH, GRAM = 128, 32
 _SYMBOL = mixed(np.arange(256, dtype=np.uint64) + np.uint64(5000))
+_SECOND = Rolling(401)
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -55,7 +61,7 @@ class Strings:
 
     def __init__(self, piece: np.ndarray, off: np.ndarray, length: int, rolling: Rolling):
         self.length, self.rolling = length, rolling
-        self.prefix = rolling.prefix(_SYMBOL[piece])
+        self.prefix, self.second = rolling.prefix(_SYMBOL[piece]), _SECOND.prefix(_SYMBOL[piece])
         ends = np.repeat(off[1:], np.diff(off))
         n = max(len(piece) - length + 1, 0)
         self.whole = np.arange(n) + length <= ends[:n]
@@ -87,14 +93,17 @@ class Strings:
             lo, hi = at[more] + 1, hi[more]
         return tuple(np.concatenate(x) for x in zip(*out))
 
-    def names(self, lo: np.ndarray, hi: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Names of steps 1 and 2."""
+    def names(self, lo: np.ndarray, hi: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The name of step 1, and both halves of that of step 2."""
         short = self.rolling.of(self.prefix, at, at + self.length - REACH + 1)
-        long = self.rolling.of(self.prefix, lo, hi + self.length)
-        return short, mixed(long + ((at - lo) * 1024 + (hi - lo)).astype(np.uint64))
+        shape = ((at - lo) * 1024 + (hi - lo)).astype(np.uint64)
+        return short, *(mixed(r.of(p, lo, hi + self.length) + shape) for r, p in self._both())
+
+    def hashes(self, at: np.ndarray) -> list[np.ndarray]:
+        return [r.of(p, at, at + self.length) for r, p in self._both()]
 
-    def hashes(self, at: np.ndarray) -> np.ndarray:
-        return self.rolling.of(self.prefix, at, at + self.length)
+    def _both(self) -> tuple:
+        return (self.rolling, self.prefix), (_SECOND, self.second)
 
 
 def _pieces(batch: pa.RecordBatch, length: int, rolling: Rolling) -> Iterator[tuple]:
@@ -111,15 +120,16 @@ def _runs(length: int, names_only: bool):
             keys = batch.column("key").to_numpy(zero_copy_only=False)
             for i, _, own, _, strings in _pieces(batch, length, rolling):
                 lo, hi, at = strings.runs()
-                short, long = strings.names(lo, hi, at)
                 if names_only:
+                    short = strings.rolling.of(strings.prefix, at, at + length - REACH + 1)
                     yield pa.RecordBatch.from_arrays([signed(short)], names=["short"])
                     continue
+                short, *long = strings.names(lo, hi, at)
                 row = np.searchsorted(own, lo, "right") - 1
                 base = own[row]
                 yield pa.RecordBatch.from_arrays(
-                    [signed(short), signed(long), pa.array(keys[i + row]), pa.array((lo - base).astype(np.int32)), pa.array((hi - base).astype(np.int32))],
-                    names=["short", "long", "key", "lo", "hi"],
+                    [signed(short), *map(signed, long), pa.array(keys[i + row]), pa.array((lo - base).astype(np.int32)), pa.array((hi - base).astype(np.int32))],
+                    names=["short", "long", "long2", "key", "lo", "hi"],
                 )
 
     return lean(run)
@@ -149,32 +159,64 @@ def _strings(length: int):
                 row = np.repeat(np.arange(j - i), np.diff(where[i : j + 1]))[run_of]
                 at = lo[a:b][run_of] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 values = strings.hashes(at + own[row])
-                yield pa.RecordBatch.from_arrays([signed(values), pa.array(keys[i + row]), pa.array(at.astype(np.int32))], names=["name", "key", "at"])
+                yield pa.RecordBatch.from_arrays([*map(signed, values), pa.array(keys[i + row]), pa.array(at.astype(np.int32))], names=["name", "name2", "key", "at"])
 
     return lean(run)
 
 
-def _mark(length: int, texts: bool):
+def _covered(n: int, lo: np.ndarray, hi: np.ndarray, length: int) -> np.ndarray:
+    """Which of n bytes are covered by strings that start at lo .. hi."""
+    edge = np.zeros(n + 1, np.int64)
+    np.add.at(edge, lo, 1)
+    np.add.at(edge, hi + length, -1)
+    return np.cumsum(edge[:-1]) > 0
+
+
+def _cut(passage: int, length: int):
+    """Pieces of texts in which every string of `passage` bytes repeats, at least as long as `length`, with their places."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, off = buffers(batch.column("text"))
+            keys = batch.column("key").to_numpy(zero_copy_only=False)
             lo, where = _lists(batch.column("lo"))
             hi, _ = _lists(batch.column("hi"))
-            sizes, removed, spans, digests, kept = [], [], [], [], []
+            out: list[tuple] = []
+            for r in range(len(off) - 1):
+                mine = slice(where[r], where[r + 1])
+                if where[r + 1] == where[r]:
+                    continue
+                starts = _covered(off[r + 1] - off[r], lo[mine], hi[mine], 1)
+                step = np.flatnonzero(np.diff(np.concatenate([[0], starts.view(np.int8), [0]])))
+                for a, b in zip(step[::2].tolist(), step[1::2].tolist()):
+                    if b - a > length - passage:
+                        out.append((keys[r], a, data[off[r] + a : off[r] + b - 1 + passage].tobytes()))
+            if out:
+                cols = list(zip(*out))
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.binary())], names=["whole", "place", "text"])
+
+    return lean(run)
+
+
+def _mark(length: int, passage: int, texts: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, off = buffers(batch.column("text"))
+            (lo, where), (hi, _) = _lists(batch.column("lo")), _lists(batch.column("hi"))
+            (near_lo, near), (near_hi, _) = _lists(batch.column("near_lo")), _lists(batch.column("near_hi"))
+            sizes, removed, spans, digests, kept, shared = [], [], [], [], [], []
             for r in range(len(off) - 1):
                 piece = data[off[r] : off[r + 1]]
-                edge = np.zeros(len(piece) + 1, np.int64)
-                np.add.at(edge, lo[where[r] : where[r + 1]], 1)
-                np.add.at(edge, hi[where[r] : where[r + 1]] + length, -1)
-                gone = np.cumsum(edge[:-1]) > 0
+                gone = _covered(len(piece), lo[where[r] : where[r + 1]], hi[where[r] : where[r + 1]], length)
                 left = piece[~gone].tobytes()
                 sizes.append(len(piece))
                 removed.append(int(gone.sum()))
                 spans.append(int((gone & ~np.concatenate([[False], gone[:-1]])[: len(gone)]).sum()))
                 digests.append(hashlib.sha256(left).hexdigest())
+                shared.append(int(_covered(len(piece), near_lo[near[r] : near[r + 1]], near_hi[near[r] : near[r + 1]], passage).sum()))
                 if texts:
                     kept.append(left)
-            out = {"doc_id": batch.column("doc_id"), "n_bytes": pa.array(sizes, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(spans, pa.int64()), "kept_sha256": pa.array(digests, pa.string())}
+            out = {"doc_id": batch.column("doc_id"), "n_bytes": pa.array(sizes, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(spans, pa.int64()), "kept_sha256": pa.array(digests, pa.string()), "n_passage": pa.array(shared, pa.int64())}
             if texts:
                 out["kept"] = pa.array(kept, pa.binary())
             yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
@@ -182,33 +224,50 @@ def _mark(length: int, texts: bool):
     return lean(run)
 
 
-def dedup_bytes(docs: DataFrame, length: int = 400, texts: bool = False) -> DataFrame:
-    """One row per row of docs(doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with texts, kept bytes."""
-    if length < REACH + GRAM:
-        raise ValueError(f"length must be {REACH + GRAM} or more")
-    scratch = Scratch(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.col("doc_id").cast("long"), "text").alias("key"))
-    long_enough = rows.where(F.octet_length("text") >= length).select("key", "text")
+def repeats(texts: DataFrame, length: int, scratch: Scratch) -> DataFrame:
+    """(key, lo, hi): lists of runs of places in texts(key, text) at which strings of that length start that start elsewhere too."""
+    long_enough = texts.where(F.octet_length("text") >= length)
 
     # 1: names of samples; those found once go.
     twice = scratch.write(long_enough.mapInArrow(_runs(length, True), "short long").groupBy("short").count().where("count > 1").select("short"))
-    runs = scratch.write(long_enough.mapInArrow(_runs(length, False), "short long, long long, key long, lo int, hi int").join(twice, "short"))
+    runs = scratch.write(long_enough.mapInArrow(_runs(length, False), "short long, long long, long2 long, key long, lo int, hi int").join(twice, "short"))
     scratch.drop(twice)
 
     # 2: runs with the same strings throughout; one of each stands for them in step 3.
-    same = scratch.write(runs.groupBy("long").agg(F.count("*").alias("n"), F.min(F.struct("key", "lo")).alias("one")), sweep=False)
-    runs2 = scratch.write(runs.join(same, "long").selectExpr("short", "key", "lo", "hi", "n > 1 AS done", "n > 1 AND one = struct(key, lo) AS stands"))
+    same = scratch.write(runs.groupBy("long", "long2").agg(F.count("*").alias("n"), F.min(F.struct("key", "lo")).alias("one")), sweep=False)
+    runs2 = scratch.write(runs.join(same, ["long", "long2"]).selectExpr("short", "key", "lo", "hi", "n > 1 AS done", "n > 1 AND one = struct(key, lo) AS stands"))
     scratch.drop(runs, same)
 
     # 3: what is left, string by string.
     open_names = scratch.write(runs2.where("NOT done").select("short").distinct(), sweep=False)
     asked = runs2.where("NOT done OR stands").distinct().join(open_names, "short").groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("r"))
     asked = asked.selectExpr("key", "transform(r, x -> x.lo) AS lo", "transform(r, x -> x.hi) AS hi")
-    strings = scratch.write(long_enough.join(asked, "key").mapInArrow(_strings(length), "name long, key long, at int"))
-    found = scratch.write(strings.groupBy("name").count().where("count > 1").select("name"))
-    hits = strings.join(found, "name").selectExpr("key", "at AS lo", "at AS hi")
+    strings = scratch.write(long_enough.join(asked, "key").mapInArrow(_strings(length), "name long, name2 long, key long, at int"))
+    found = scratch.write(strings.groupBy("name", "name2").count().where("count > 1").select("name", "name2"))
+    hits = strings.join(found, ["name", "name2"]).selectExpr("key", "at AS lo", "at AS hi")
     marks = hits.unionByName(runs2.where("done").select("key", "lo", "hi")).groupBy("key").agg(F.collect_set(F.struct("lo", "hi")).alias("r"))
     marks = scratch.write(marks.selectExpr("key", "transform(r, x -> x.lo) AS lo", "transform(r, x -> x.hi) AS hi"))
     scratch.drop(runs2, open_names, strings, found)
-    out = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if texts else "")
-    return rows.join(marks, "key", "left").select("doc_id", "text", "lo", "hi").mapInArrow(_mark(length, texts), out)
+    return marks
+
+
+def dedup_bytes(docs: DataFrame, length: int = 400, texts: bool = False, passage: int = 256) -> DataFrame:
+    """One row per row of docs(doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passage (bytes covered by
+    strings of `passage` bytes, at most length, that also start elsewhere) and, with texts, the kept bytes."""
+    passage = min(passage, length)
+    if passage < REACH + GRAM:
+        raise ValueError(f"length and passage must be {REACH + GRAM} or more")
+    scratch = Scratch(docs.sparkSession)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.col("doc_id").cast("long"), "text").alias("key"))
+    short = repeats(rows.select("key", "text"), passage, scratch)
+    pieces = rows.select("key", "text").join(short, "key").mapInArrow(_cut(passage, length), "whole long, place int, text binary")
+    pieces = scratch.write(pieces.withColumn("key", F.xxhash64("whole", "place")))
+    long = repeats(pieces.select("key", "text"), length, scratch)
+    places = pieces.select("whole", "place", "key").distinct().join(long, "key")
+    moved = places.groupBy(F.col("whole").alias("key")).agg(
+        F.flatten(F.collect_list(F.expr("transform(lo, x -> x + place)"))).alias("lo"), F.flatten(F.collect_list(F.expr("transform(hi, x -> x + place)"))).alias("hi")
+    )
+    marks = scratch.write(short.toDF("key", "near_lo", "near_hi").join(moved, "key", "left"))
+    scratch.drop(pieces, short, long)
+    out = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passage long" + (", kept binary" if texts else "")
+    return rows.join(marks, "key", "left").select("doc_id", "text", "lo", "hi", "near_lo", "near_hi").mapInArrow(_mark(length, passage, texts), out)
