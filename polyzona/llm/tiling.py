@@ -7,9 +7,12 @@ for, confirmed token by token), so that passages whose parts were moved about ar
 tiles cover `threshold` of the item's tokens. A pair whose seeds cannot reach that, even if all of them were tiles, is
 not tiled at all; this drops no pair that would count.
 
-Items are handled in blocks of at most `block_bytes` of text, so what is sent to the executors is bounded however large
-the benchmark is; each block is one pass over the documents. Items of fewer than `least` tokens say too little and are
-skipped, as are null and empty ones. Null texts have no tokens. Rows that repeat a doc_id are reported each.
+Of matches of one length, the first by place in the item, then in the document, is marked first, so tiles are the same
+in every run. Items are handled in blocks of at most `block_bytes` of text, each of which is one pass over the documents
+whose result is written before the next block is read, so what is held by the driver and sent to the executors is
+bounded however large the benchmark is. Parts of an item of fewer than `least` tokens say too little: such an item
+counts where it is found whole, as one tile. Null and empty items are skipped. Null texts have no tokens. Rows that
+repeat a doc_id are reported each.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, buffers, find_words, lean, slices, word_hashes
+from .common import Rolling, Scratch, buffers, find_words, lean, slices, word_hashes
 
 #: ASCII: letters to lower case, everything but letters and digits to a space; bytes of other letters stay.
 _PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if c > 127 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -89,11 +92,10 @@ def _grow(item: np.ndarray, doc: np.ndarray, free_i: np.ndarray, free_d: np.ndar
 
 
 class Items:
-    """A block of test items: their tokens, and a sorted table of their seeds."""
+    """Test items that share a tile's size: their tokens, and a sorted table of their seeds."""
 
-    def __init__(self, items: list[tuple[int, bytes]], tile: int, least: int):
+    def __init__(self, known: list[tuple[int, np.ndarray]], tile: int):
         self.tile, self.rolling = tile, Rolling(55)
-        known = [(k, t) for k, t in ((k, tokens(x)) for k, x in items) if len(t) >= max(least, tile)]
         self.ids, self.tokens = [k for k, _ in known], [t for _, t in known]
         seeds = [self.rolling.windows(t, tile) for t in self.tokens]
         self.seeds = np.concatenate(seeds) if seeds else np.zeros(0, np.uint64)
@@ -138,9 +140,18 @@ class Items:
                 yield self.ids[k], covered, len(item), len(tiles), max(n for _, _, n in tiles)
 
 
+def _tables(items: list[tuple[int, bytes]], tile: int, least: int) -> list[tuple[Items, bool]]:
+    """Items of `least` tokens or more in one table, by tiles; shorter ones by their length, as one tile (part is False)."""
+    known = [(k, t) for k, t in ((k, tokens(x)) for k, x in items) if len(t)]
+    by_size: dict[tuple[int, bool], list] = {}
+    for k, t in known:
+        by_size.setdefault((tile, True) if len(t) >= max(least, tile) else (len(t), False), []).append((k, t))
+    return [(Items(group, size), part) for (size, part), group in by_size.items()]
+
+
 def _search(items: list[tuple[int, bytes]], tile: int, threshold: float, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = Items(items, tile, least)
+        tables = _tables(items, tile, least)
         for batch in batches:
             data, off = buffers(batch.column("text"))
             docs = batch.column("doc_id")
@@ -152,13 +163,14 @@ def _search(items: list[tuple[int, bytes]], tile: int, threshold: float, least:
                 piece = np.frombuffer(b"".join(texts), np.uint8)
                 starts, ends, row = find_words(piece, edges)
                 words = word_hashes(piece, starts, ends)
-                seeds = table.rolling.windows(words, tile)
-                at = table.hits(seeds)
-                at = at[row[at] == row[at + tile - 1]]
                 where = np.searchsorted(row, np.arange(j - i + 1))
-                for k in np.unique(row[at]).tolist():
-                    for found in table.compare(words[where[k] : where[k + 1]], seeds[at[row[at] == k]], threshold):
-                        out.append((docs[i + k].as_py(), *found))
+                for table, part in tables:
+                    seeds = table.rolling.windows(words, table.tile)
+                    at = table.hits(seeds)
+                    at = at[row[at] == row[at + table.tile - 1]]
+                    for k in np.unique(row[at]).tolist():
+                        for found in table.compare(words[where[k] : where[k + 1]], seeds[at[row[at] == k]], threshold if part else 1.0):
+                            out.append((docs[i + k].as_py(), *found))
             if out:
                 cols = list(zip(*out))
                 kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32()]
@@ -184,7 +196,10 @@ def find_contaminated(docs: DataFrame, benchmark: DataFrame, tile: int = 4, thre
     """(doc_id, item_id, covered, item_tokens, tiles, longest) of every pair whose tiles cover the threshold of the item."""
     rows, out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), None
     schema = "doc_id long, item_id long, covered int, item_tokens int, tiles int, longest int"
+    scratch = Scratch(docs.sparkSession)
     for part in blocks(benchmark, block_bytes):
+        # The last block is left to the caller's plan; each one before it is finished first.
+        out = None if out is None else scratch.write(out)
         found = rows.mapInArrow(_search(part, tile, threshold, least), schema)
         out = found if out is None else out.unionByName(found)
     return rows.sparkSession.createDataFrame([], schema) if out is None else out

@@ -93,7 +93,7 @@ def _telling(y: np.ndarray, rows: np.ndarray, words: np.ndarray, n: int, least:
     return names[best[score[best] > 0]]
 
 
-def fit_chain(y: np.ndarray, words: list[np.ndarray], folds: np.ndarray, features: int = 150) -> Chain:
+def fit_chain(y: np.ndarray, words: list[np.ndarray], folds: np.ndarray, features: int = 300) -> Chain:
     """A chain for labels y (rows x categories) and the word hashes of each row."""
     n = len(words)
     rows = np.repeat(np.arange(n), [len(w) for w in words])
@@ -125,12 +125,13 @@ def fit_chain(y: np.ndarray, words: list[np.ndarray], folds: np.ndarray, feature
     return chain
 
 
-def train_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 8000, folds: int = 5, features: int = 150) -> Chain:
+def train_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 8000, folds: int = 5, features: int = 300) -> Chain:
     """A chain learnt from at most `sample` rows of labels(doc_id, quality, toxic) and their texts."""
     usable = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("q"), F.max("toxic").alias("t"))
     picked = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).selectExpr("doc_id", "CAST((1 - q) + 2 * t AS INT) AS y")
-    # At most `sample` rows of two numbers.
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id").select("doc_id", "y", "text")
+    # At most `sample` rows of two numbers; of documents with the same id one text is used, so no more rows than that are gathered.
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id")
+    rows = rows.groupBy("doc_id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("doc_id", "y", "text")
     found = sorted(((r[0], r[1], bytes(r[2])) for r in rows.mapInArrow(_words_of, "doc_id long, y int, words binary").collect()), key=lambda r: (r[0], r[2]))
     y = np.array([[r[1] & 1, r[1] >> 1] for r in found], float).reshape(-1, 2)
     return fit_chain(y, [np.frombuffer(r[2], np.uint64) for r in found], np.arange(len(found)) % folds, features)

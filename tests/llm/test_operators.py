@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from polyzona.llm import components, mixing, quality, sharding, simhash, suffix_dedup, tiling, token_counts, token_files, toxicity
+from polyzona.llm import components, mixing, quality, queries, sharding, simhash, suffix_dedup, tiling, token_counts, token_files, toxicity
 from polyzona.llm.common import Scratch
 from polyzona.llm.substring_dedup import dedup_substrings
 
@@ -181,10 +181,12 @@ def test_bytes(spark, empty):
     rng = np.random.default_rng(5)
     noise = lambda n: bytes(rng.integers(97, 123, n).astype(np.uint8)).decode()
     a, b = noise(700), noise(420)
-    table = [(d, t) for d, t, *_ in rows() if len(t or "") < 3000]
+    table = [(d, t) for d, t, *_ in rows()]
     table += [(20, a), (21, noise(50) + a[100:650] + noise(80)), (22, b + noise(9) + b), (23, "ab" * 700), (24, a[:399]), (25, "é" * 300), (26, noise(2000)), (27, noise(30) + b)]
     df = spark.createDataFrame(table, "doc_id long, text string").repartition(4)
-    assert bag(suffix_dedup.dedup_bytes(df)) == brute_bytes(table, 400)
+    got = suffix_dedup.dedup_bytes(df)
+    assert bag(got.drop("n_passage")) == brute_bytes(table, 400)
+    assert bag(got.select("doc_id", "n_bytes", "n_passage")) == sum((Counter({k[:3]: n}) for k, n in brute_bytes(table, 256).items()), Counter())
     assert suffix_dedup.dedup_bytes(empty).count() == 0
 
 
@@ -193,7 +195,14 @@ def test_bytes_other_lengths(spark, n):
     rng = np.random.default_rng(n)
     pool = [bytes(rng.integers(97, 100, 180).astype(np.uint8)).decode() for _ in range(4)]
     table = [(i, "".join(pool[k] for k in rng.integers(0, 4, 4)) + str(i)) for i in range(30)]
-    assert bag(suffix_dedup.dedup_bytes(spark.createDataFrame(table, "doc_id long, text string"), n)) == brute_bytes(table, n)
+    assert bag(suffix_dedup.dedup_bytes(spark.createDataFrame(table, "doc_id long, text string"), n, passage=160).drop("n_passage")) == brute_bytes(table, n)
+
+
+def test_bytes_of_a_corpus(spark, data):
+    """All of sf0.01 against brute force."""
+    docs = spark.read.parquet(f"{data.replace('sf0.001', 'sf0.01')}/documents.parquet").select("doc_id", "text")
+    got = suffix_dedup.dedup_bytes(docs)
+    assert bag(got.drop("n_passage")) == brute_bytes([tuple(r) for r in docs.collect()], 400)
 
 
 # ---------------------------------------------------------------- 6
@@ -234,7 +243,7 @@ def test_tiling_covers_as_brute_force():
     for _ in range(40):
         item, doc = rng.integers(0, 5, 20).astype(np.uint64), rng.integers(0, 5, 40).astype(np.uint64)
         got = sum(n for _, _, n in tiling.greedy_tiles(item, doc, 4))
-        assert abs(got - brute_cover(item.tolist(), doc.tolist(), 4)) <= 4  # ties may be cut at other places
+        assert got == brute_cover(item.tolist(), doc.tolist(), 4)
 
 
 def test_contamination(spark, docs, empty):
@@ -242,9 +251,10 @@ def test_contamination(spark, docs, empty):
     moved = " ".join(BASE.split()[12:] + ["..."] + BASE.split()[:12])
     more = docs.unionByName(spark.createDataFrame([(50, moved, "en", "a", 1), (51, BASE.replace("fox", "cat"), "en", "a", 1), (52, BASE[:40], "en", "a", 1)], SCHEMA))
     got = {(r.doc_id, r.item_id) for r in tiling.find_contaminated(more, items, block_bytes=60).collect()}
-    assert got == {(d, 1) for d in (0, 1, 2, 3, 12, 15, None, 50, 51)}
+    # Item 5 is too short for tiles: document 8 has it whole.
+    assert got == {(d, 1) for d in (0, 1, 2, 3, 12, 15, None, 50, 51)} | {(8, 5)}
     kept = tiling.drop_contaminated(more.withColumn("item_id", F.lit(1)), items)
-    assert sorted(r.doc_id for r in kept.collect()) == [4, 5, 6, 7, 8, 9, 10, 11, 13, 14, 16, 52]
+    assert sorted(r.doc_id for r in kept.collect()) == [4, 5, 6, 7, 9, 10, 11, 13, 14, 16, 52]
     assert tiling.find_contaminated(empty, items).count() == 0 and tiling.find_contaminated(docs, items.limit(0)).count() == 0
 
 
@@ -447,7 +457,56 @@ def test_ledger(spark):
     assert ledger.commit("b4", batch().limit(0)) and bag(alive) == bag(ledger.totals())
     with pytest.raises(Exception, match="op must be"):
         ledger.commit("b5", batch((1, "a", "en", "v1", "drop", 3, 0)))
-    assert len(ledger.batches()) == 4
+    assert ledger.batches() == ["b1", "b2", "b3", "b4"]
+    before = bag(ledger.totals()), bag(ledger.state())
+    ledger.compact()
+    assert len(ledger._folders()) == 1 and (bag(ledger.totals()), bag(ledger.state())) == before
+
+
+def test_ledger_of_two_writers(spark):
+    """A writer whose number is taken starts again from what the other one left; random batches against a dictionary."""
+    path, rng = Scratch(spark).root + "/ledger", np.random.default_rng(1)
+    cols = "doc_id long, source string, lang string, version string, op string, n_tokens long, at long"
+    a, b = token_counts.Ledger(spark, path, compact_every=3), token_counts.Ledger(spark, path, compact_every=3)
+    held = {}
+    for k in range(7):
+        rows = [(int(d), "s%d" % rng.integers(3), "en", "v", ["insert", "delete", "revise"][rng.integers(3)], int(rng.integers(50)), 0) for d in rng.permutation(12)[:6]]
+        if k == 4:  # b takes the number that a has prepared for
+            prepare = a._prepare
+
+            def late(one, seq, folder):
+                prepare(one, seq, folder)
+                if a._prepare is not prepare:
+                    a._prepare = prepare
+                    assert b.commit("between", spark.createDataFrame([(1, "z", "en", "v", "insert", 1000, 0)], cols))
+                    held[1] = ("z", 1000)
+
+            a._prepare = late
+        assert (a if k % 2 == 0 else b).commit(f"n{k}", spark.createDataFrame(rows, cols))
+        for d, s, _, _, op, n, _ in rows:
+            if op == "delete":
+                held.pop(d, None)
+            else:
+                held[d] = (s, n)
+    want = Counter()
+    for s, n in held.values():
+        want[s, "en", "v"] += n
+    assert {tuple(r)[:3]: r.n_tokens for r in a.totals().collect()} == dict(want) and sum(r.n_docs for r in a.totals().collect()) == len(held)
+
+
+def test_op1_as_brute_force(spark, data):
+    P = pytest.importorskip("public_tokenizers")
+    enc = token_counts._encoder(P.path("byte_bpe_50k.tiktoken"))
+    toxic = {r.doc_id for r in spark.read.parquet(f"{data}/labels.parquet").collect() if r.toxic == 1}
+    want = Counter()
+    for r in spark.read.parquet(f"{data}/documents.parquet").collect():
+        if r.doc_id not in toxic:
+            want[r.source, r.lang, "docs"] += 1
+            want[r.source, r.lang, "tokens"] += len(enc.encode_ordinary(r.text or ""))
+    got = Counter()
+    for r in queries.op1_token_counts(spark, data).collect():
+        got[r.source, r.lang, "docs"], got[r.source, r.lang, "tokens"] = r.n_docs, r.n_tokens
+    assert +got == +want
 
 
 def test_count_tokens(docs, empty):
@@ -462,6 +521,54 @@ def test_count_tokens(docs, empty):
 # ---------------------------------------------------------------- 8
 
 
+def test_fit_is_the_optimum():
+    rng = np.random.default_rng(8)
+    x, y = (rng.random((300, 12)) < 0.3).astype(float), (rng.random(300) < 0.4).astype(float)
+    w, whole = toxicity._fit(x, y), np.concatenate([np.ones((300, 1)), x], axis=1)
+    ridge = np.full(13, 1.0)
+    ridge[0] = 1e-6
+    slope = lambda v: whole.T @ (y - 1 / (1 + np.exp(-whole @ v))) - ridge * v
+    assert np.abs(slope(w)).max() < 1e-4
+    # Plain ascent along the slope ends at the same place.
+    v = np.zeros(13)
+    for _ in range(20000):
+        v += 0.005 * slope(v)
+    assert np.abs(v - w).max() < 1e-3
+
+
+def test_chain_learns_from_predictions_out_of_fold():
+    rng = np.random.default_rng(9)
+    words = [np.unique(rng.integers(1, 30, 8)).astype(np.uint64) for _ in range(200)]
+    y = np.array([[float(5 in w), float(5 in w or 7 in w)] for w in words])
+    folds = np.arange(200) % 5
+    chain = toxicity.fit_chain(y, words, folds, features=10)
+    x = np.array([[float(n in w) for n in chain.words] for w in words])
+    out = np.zeros(200)
+    for f in range(5):
+        w = toxicity._fit(x[folds != f], y[folds != f, 0])
+        out[folds == f] = w[0] + x[folds == f] @ w[1:]
+    second = toxicity._fit(np.concatenate([x, out[:, None]], axis=1), y[:, 1])
+    start, weights, earlier = chain.models[1]
+    assert abs(start - second[0]) < 1e-9 and np.allclose(weights, second[1:-1]) and np.allclose(earlier, second[-1:])
+
+
+def test_scores_as_brute_force(spark, docs):
+    t = lambda s: tiling.tokens(s.encode())
+    names = np.unique(np.concatenate([t("fox"), t("dog"), t("the"), t("word")]))
+    chain = toxicity.Chain(names, [(-0.5, np.array([1.0, -2.0, 0.5, 0.25]), np.zeros(0)), (0.1, np.array([0.3, 0.2, -1.0, 2.0]), np.array([0.7]))])
+    want = Counter()
+    for d, text, *_ in rows():
+        has = np.isin(names, tiling.tokens((text or "").encode()))
+        first = -0.5 + has @ chain.models[0][1]
+        second = 0.1 + has @ chain.models[1][1] + 0.7 * first
+        want[d, round(1 / (1 + np.exp(-first)), 9), round(1 / (1 + np.exp(-second)), 9)] += 1
+    clash = docs.withColumns({"p_toxic": F.lit("x"), "toxic": F.lit(1), "y": F.lit(2)})
+    got = Counter((r.doc_id, round(r.p_low_quality, 9), round(r.p_toxic, 9)) for r in toxicity.score_toxicity(clash, chain).collect())
+    assert got == want
+    labels = spark.createDataFrame([(0, 1, 0), (0, 1, 0), (1, 0, 1), (4, 1, 0)], "doc_id long, quality int, toxic int")
+    assert len(toxicity.train_toxicity(docs.union(docs).union(docs), labels, sample=2).models) == 2
+
+
 def test_toxicity_on_held_out_rows(spark, data):
     docs, labels = spark.read.parquet(f"{data.replace('sf0.001', 'sf0.1')}/documents.parquet"), spark.read.parquet(f"{data.replace('sf0.001', 'sf0.1')}/labels.parquet")
     held = F.xxhash64("doc_id", F.lit(5)) % 4 == 0
