@@ -9,18 +9,17 @@ neighbouring positions, of which there are about 64. As in the recursive algorit
 them, names that occur once are dropped, the remaining suffixes are merged in by what stands between them and their
 sample, and equal neighbours are compared:
 
-1. samples are named by the bytes after them that all their strings have in common; names found once go;
-2. runs of positions are named by all the bytes of their strings; runs of the same name are repeats as a whole;
-3. of names from step 1 with a run that is left, that run and one run for each name of step 2 are taken byte by byte:
+1. samples are named by the bytes after them that all strings of `passage` bytes with this sample have in common; names
+   found once go. What is left is a result of its own (n_passage: bytes under such names): every string of `passage`
+   bytes that occurs elsewhere has one, and many passages that repeat are shorter than `length`;
+2. samples are named by the bytes that all strings of `length` bytes have in common; names found once go;
+3. runs of positions are named by all the bytes of their strings; runs of the same name are repeats as a whole;
+4. of names from step 2 with a run that is left, that run and one run for each name of step 3 are taken byte by byte:
    strings of equal name are repeats.
 
-This is done twice. Strings of `passage` bytes come first: where they repeat is a result of its own (n_passage), since
-many repeated passages are shorter than `length`. A longer string that repeats consists of shorter ones that repeat, so
-the second search sees those pieces of the texts alone in which they repeat often enough in a row.
-
 The textbook form (triples at positions 1 and 2 modulo 3, sorted, recursively renamed, for every byte) is not used: see
-the README for its figures. Names in steps 2 and 3 have 128 bits, so that 10**12 of them give no false match; those of
-step 1 have 64 bits, which decide only what is looked at.
+the README for its figures. Names in steps 3 and 4 have 128 bits, so that 10**12 of them give no false match; those of
+the steps before have 64 bits and decide what is looked at, and n_passage.
 
 Null texts are empty; texts shorter than `length` keep all. Rows are known by a hash of doc_id and text: equal rows are
 occurrences of their own, and share their result. Bytes that are left are hashed, or returned, as they are.
@@ -57,14 +56,14 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 class Strings:
-    """Samples and hashes of the strings of one slice of texts."""
+    """Samples and names of the strings of one slice of texts."""
 
-    def __init__(self, piece: np.ndarray, off: np.ndarray, length: int, rolling: Rolling):
-        self.length, self.rolling = length, rolling
+    def __init__(self, piece: np.ndarray, off: np.ndarray, length: int, passage: int, rolling: Rolling):
+        self.length, self.passage, self.rolling = length, passage, rolling
         self.prefix, self.second = rolling.prefix(_SYMBOL[piece]), _SECOND.prefix(_SYMBOL[piece])
-        ends = np.repeat(off[1:], np.diff(off))
-        n = max(len(piece) - length + 1, 0)
-        self.whole = np.arange(n) + length <= ends[:n]
+        self.ends = np.repeat(off[1:], np.diff(off))
+        n = max(len(piece) - passage + 1, 0)
+        self.whole = np.arange(n) + passage <= self.ends[:n]
 
     def runs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """first and last position of each run of positions with one sample, and the sample."""
@@ -93,11 +92,14 @@ class Strings:
             lo, hi = at[more] + 1, hi[more]
         return tuple(np.concatenate(x) for x in zip(*out))
 
-    def names(self, lo: np.ndarray, hi: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The name of step 1, and both halves of that of step 2."""
-        short = self.rolling.of(self.prefix, at, at + self.length - REACH + 1)
+    def near(self, at: np.ndarray) -> np.ndarray:
+        """Names of step 1."""
+        return self.rolling.of(self.prefix, at, at + self.passage - REACH + 1)
+
+    def names(self, lo: np.ndarray, hi: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+        """The name of step 2, and both halves of that of step 3."""
         shape = ((at - lo) * 1024 + (hi - lo)).astype(np.uint64)
-        return short, *(mixed(r.of(p, lo, hi + self.length) + shape) for r, p in self._both())
+        return [self.rolling.of(self.prefix, at, at + self.length - REACH + 1), *(mixed(r.of(p, lo, hi + self.length) + shape) for r, p in self._both())]
 
     def hashes(self, at: np.ndarray) -> list[np.ndarray]:
         return [r.of(p, at, at + self.length) for r, p in self._both()]
@@ -106,31 +108,39 @@ class Strings:
         return (self.rolling, self.prefix), (_SECOND, self.second)
 
 
-def _pieces(batch: pa.RecordBatch, length: int, rolling: Rolling) -> Iterator[tuple]:
+def _pieces(batch: pa.RecordBatch, length: int, passage: int, rolling: Rolling) -> Iterator[tuple]:
     data, off = buffers(batch.column("text"))
     for i, j in slices(off):
         own, piece = off[i : j + 1] - off[i], data[off[i] : off[j]]
-        yield i, j, own, piece, Strings(piece, own, length, rolling)
+        yield i, j, own, piece, Strings(piece, own, length, passage, rolling)
+
+
+def _near(length: int, passage: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rolling = Rolling(400)
+        for batch in batches:
+            for *_, strings in _pieces(batch, length, passage, rolling):
+                yield pa.RecordBatch.from_arrays([signed(strings.near(strings.runs()[2]))], names=["near"])
+
+    return lean(run)
 
 
-def _runs(length: int, names_only: bool):
+def _runs(length: int, passage: int):
+    """Runs with their names; hi is less than lo where no string of `length` bytes fits in."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolling = Rolling(400)
         for batch in batches:
             keys = batch.column("key").to_numpy(zero_copy_only=False)
-            for i, _, own, _, strings in _pieces(batch, length, rolling):
+            for i, _, own, _, strings in _pieces(batch, length, passage, rolling):
                 lo, hi, at = strings.runs()
-                if names_only:
-                    short = strings.rolling.of(strings.prefix, at, at + length - REACH + 1)
-                    yield pa.RecordBatch.from_arrays([signed(short)], names=["short"])
-                    continue
-                short, *long = strings.names(lo, hi, at)
+                hi = np.maximum(np.minimum(hi, strings.ends[lo] - length), lo - 1)
+                fits, names = np.flatnonzero(hi >= lo), [np.zeros(len(lo), np.uint64) for _ in range(3)]
+                for to, values in zip(names, strings.names(lo[fits], hi[fits], at[fits])):
+                    to[fits] = values
                 row = np.searchsorted(own, lo, "right") - 1
-                base = own[row]
-                yield pa.RecordBatch.from_arrays(
-                    [signed(short), *map(signed, long), pa.array(keys[i + row]), pa.array((lo - base).astype(np.int32)), pa.array((hi - base).astype(np.int32))],
-                    names=["short", "long", "long2", "key", "lo", "hi"],
-                )
+                places = [pa.array((x - own[row]).astype(np.int32)) for x in (lo, hi, at)]
+                yield pa.RecordBatch.from_arrays([signed(strings.near(at)), *map(signed, names), pa.array(keys[i + row]), *places], names=["near", "short", "long", "long2", "key", "lo", "hi", "at"])
 
     return lean(run)
 
@@ -152,7 +162,7 @@ def _strings(length: int):
             keys = batch.column("key").to_numpy(zero_copy_only=False)
             lo, where = _lists(batch.column("lo"))
             hi, _ = _lists(batch.column("hi"))
-            for i, j, own, _, strings in _pieces(batch, length, rolling):
+            for i, j, own, _, strings in _pieces(batch, length, length, rolling):
                 a, b = where[i], where[j]
                 n = hi[a:b] - lo[a:b] + 1
                 run_of = np.repeat(np.arange(b - a), n)
@@ -172,38 +182,12 @@ def _covered(n: int, lo: np.ndarray, hi: np.ndarray, length: int) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def _cut(passage: int, length: int):
-    """Pieces of texts in which every string of `passage` bytes repeats, at least as long as `length`, with their places."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, off = buffers(batch.column("text"))
-            keys = batch.column("key").to_numpy(zero_copy_only=False)
-            lo, where = _lists(batch.column("lo"))
-            hi, _ = _lists(batch.column("hi"))
-            out: list[tuple] = []
-            for r in range(len(off) - 1):
-                mine = slice(where[r], where[r + 1])
-                if where[r + 1] == where[r]:
-                    continue
-                starts = _covered(off[r + 1] - off[r], lo[mine], hi[mine], 1)
-                step = np.flatnonzero(np.diff(np.concatenate([[0], starts.view(np.int8), [0]])))
-                for a, b in zip(step[::2].tolist(), step[1::2].tolist()):
-                    if b - a > length - passage:
-                        out.append((keys[r], a, data[off[r] + a : off[r] + b - 1 + passage].tobytes()))
-            if out:
-                cols = list(zip(*out))
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.binary())], names=["whole", "place", "text"])
-
-    return lean(run)
-
-
-def _mark(length: int, passage: int, texts: bool):
+def _mark(length: int, under: int, texts: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, off = buffers(batch.column("text"))
             (lo, where), (hi, _) = _lists(batch.column("lo")), _lists(batch.column("hi"))
-            (near_lo, near), (near_hi, _) = _lists(batch.column("near_lo")), _lists(batch.column("near_hi"))
+            at, near = _lists(batch.column("at"))
             sizes, removed, spans, digests, kept, shared = [], [], [], [], [], []
             for r in range(len(off) - 1):
                 piece = data[off[r] : off[r + 1]]
@@ -213,7 +197,7 @@ def _mark(length: int, passage: int, texts: bool):
                 removed.append(int(gone.sum()))
                 spans.append(int((gone & ~np.concatenate([[False], gone[:-1]])[: len(gone)]).sum()))
                 digests.append(hashlib.sha256(left).hexdigest())
-                shared.append(int(_covered(len(piece), near_lo[near[r] : near[r + 1]], near_hi[near[r] : near[r + 1]], passage).sum()))
+                shared.append(int(_covered(len(piece), at[near[r] : near[r + 1]], at[near[r] : near[r + 1]], under).sum()))
                 if texts:
                     kept.append(left)
             out = {"doc_id": batch.column("doc_id"), "n_bytes": pa.array(sizes, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(spans, pa.int64()), "kept_sha256": pa.array(digests, pa.string()), "n_passage": pa.array(shared, pa.int64())}
@@ -224,50 +208,51 @@ def _mark(length: int, passage: int, texts: bool):
     return lean(run)
 
 
-def repeats(texts: DataFrame, length: int, scratch: Scratch) -> DataFrame:
-    """(key, lo, hi): lists of runs of places in texts(key, text) at which strings of that length start that start elsewhere too."""
-    long_enough = texts.where(F.octet_length("text") >= length)
+def repeats(texts: DataFrame, length: int, passage: int, scratch: Scratch) -> DataFrame:
+    """(key, lo, hi, at): of texts(key, text), lists of the runs of places at which repeated strings of `length` bytes start,
+    and of the samples whose names of step 1 occur elsewhere."""
+    long_enough = texts.where(F.octet_length("text") >= passage)
 
-    # 1: names of samples; those found once go.
-    twice = scratch.write(long_enough.mapInArrow(_runs(length, True), "short long").groupBy("short").count().where("count > 1").select("short"))
-    runs = scratch.write(long_enough.mapInArrow(_runs(length, False), "short long, long long, long2 long, key long, lo int, hi int").join(twice, "short"))
+    # 1: short names of samples; those found once go.
+    twice = scratch.write(long_enough.mapInArrow(_near(length, passage), "near long").groupBy("near").count().where("count > 1").select("near"))
+    schema = "near long, short long, long long, long2 long, key long, lo int, hi int, at int"
+    runs = scratch.write(long_enough.mapInArrow(_runs(length, passage), schema).join(twice, "near").drop("near"))
     scratch.drop(twice)
-
-    # 2: runs with the same strings throughout; one of each stands for them in step 3.
-    same = scratch.write(runs.groupBy("long", "long2").agg(F.count("*").alias("n"), F.min(F.struct("key", "lo")).alias("one")), sweep=False)
-    runs2 = scratch.write(runs.join(same, ["long", "long2"]).selectExpr("short", "key", "lo", "hi", "n > 1 AS done", "n > 1 AND one = struct(key, lo) AS stands"))
-    scratch.drop(runs, same)
-
-    # 3: what is left, string by string.
-    open_names = scratch.write(runs2.where("NOT done").select("short").distinct(), sweep=False)
-    asked = runs2.where("NOT done OR stands").distinct().join(open_names, "short").groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("r"))
+    samples = scratch.write(runs.groupBy("key").agg(F.collect_set("at").alias("at")), sweep=False)
+
+    # 2: long names of samples.
+    held = runs.where("hi >= lo").drop("at")
+    twice = scratch.write(held.groupBy("short").count().where("count > 1").select("short"), sweep=False)
+
+    # 3: runs with the same strings throughout; one of each stands for them in step 4.
+    runs2 = scratch.write(held.join(twice, "short"))
+    scratch.drop(runs, twice)
+    same = scratch.write(runs2.groupBy("long", "long2").agg(F.count("*").alias("n"), F.min(F.struct("key", "lo")).alias("one")).where("n > 1"), sweep=False)
+    runs3 = scratch.write(runs2.join(same, ["long", "long2"], "left").selectExpr("short", "key", "lo", "hi", "n IS NOT NULL AS done", "n IS NOT NULL AND one = struct(key, lo) AS stands"))
+    scratch.drop(runs2, same)
+
+    # 4: what is left, string by string.
+    open_names = scratch.write(runs3.where("NOT done").select("short").distinct(), sweep=False)
+    asked = runs3.where("NOT done OR stands").distinct().join(open_names, "short").groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("r"))
     asked = asked.selectExpr("key", "transform(r, x -> x.lo) AS lo", "transform(r, x -> x.hi) AS hi")
-    strings = scratch.write(long_enough.join(asked, "key").mapInArrow(_strings(length), "name long, name2 long, key long, at int"))
+    strings = scratch.write(texts.join(asked, "key").mapInArrow(_strings(length), "name long, name2 long, key long, at int"))
     found = scratch.write(strings.groupBy("name", "name2").count().where("count > 1").select("name", "name2"))
     hits = strings.join(found, ["name", "name2"]).selectExpr("key", "at AS lo", "at AS hi")
-    marks = hits.unionByName(runs2.where("done").select("key", "lo", "hi")).groupBy("key").agg(F.collect_set(F.struct("lo", "hi")).alias("r"))
-    marks = scratch.write(marks.selectExpr("key", "transform(r, x -> x.lo) AS lo", "transform(r, x -> x.hi) AS hi"))
-    scratch.drop(runs2, open_names, strings, found)
+    marks = hits.unionByName(runs3.where("done").select("key", "lo", "hi")).groupBy("key").agg(F.collect_set(F.struct("lo", "hi")).alias("r"))
+    marks = marks.selectExpr("key", "transform(r, x -> x.lo) AS lo", "transform(r, x -> x.hi) AS hi")
+    marks = scratch.write(samples.join(marks, "key", "left"))
+    scratch.drop(runs3, open_names, strings, found, samples)
     return marks
 
 
-def dedup_bytes(docs: DataFrame, length: int = 400, texts: bool = False, passage: int = 256) -> DataFrame:
-    """One row per row of docs(doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passage (bytes covered by
-    strings of `passage` bytes, at most length, that also start elsewhere) and, with texts, the kept bytes."""
+def dedup_bytes(docs: DataFrame, length: int = 400, texts: bool = False, passage: int = 285) -> DataFrame:
+    """One row per row of docs(doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passage (bytes under
+    sampled names that occur elsewhere: every repeated string of `passage` bytes has one) and, with texts, the kept bytes."""
     passage = min(passage, length)
     if passage < REACH + GRAM:
         raise ValueError(f"length and passage must be {REACH + GRAM} or more")
     scratch = Scratch(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.col("doc_id").cast("long"), "text").alias("key"))
-    short = repeats(rows.select("key", "text"), passage, scratch)
-    pieces = rows.select("key", "text").join(short, "key").mapInArrow(_cut(passage, length), "whole long, place int, text binary")
-    pieces = scratch.write(pieces.withColumn("key", F.xxhash64("whole", "place")))
-    long = repeats(pieces.select("key", "text"), length, scratch)
-    places = pieces.select("whole", "place", "key").distinct().join(long, "key")
-    moved = places.groupBy(F.col("whole").alias("key")).agg(
-        F.flatten(F.collect_list(F.expr("transform(lo, x -> x + place)"))).alias("lo"), F.flatten(F.collect_list(F.expr("transform(hi, x -> x + place)"))).alias("hi")
-    )
-    marks = scratch.write(short.toDF("key", "near_lo", "near_hi").join(moved, "key", "left"))
-    scratch.drop(pieces, short, long)
+    marks = repeats(rows.select("key", "text"), length, passage, scratch)
     out = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passage long" + (", kept binary" if texts else "")
-    return rows.join(marks, "key", "left").select("doc_id", "text", "lo", "hi", "near_lo", "near_hi").mapInArrow(_mark(length, passage, texts), out)
+    return rows.join(marks, "key", "left").select("doc_id", "text", "lo", "hi", "at").mapInArrow(_mark(length, passage - REACH + 1, texts), out)
