@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 #: Letters that decomposition leaves as they are. Fixed values.
-SPECIAL_LETTERS = {"ı": "i", "ß": "ss", "æ": "ae", "œ": "oe", "ø": "o", "đ": "d", "þ": "th", "ł": "l"}
+SPECIAL_LETTERS = {"ı": "i", "ß": "ss", "æ": "ae", "œ": "oe", "ø": "o", "đ": "d", "ð": "d", "þ": "th", "ł": "l"}
 #: Entities in the order in which they are replaced. Fixed values.
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"), ("&quot;", '"'), ("&#39;", "'"))
 ADMIN_LEVELS = ("ADM0", "ADM1", "ADM2", "ADM3", "ADM4", "ADM5")

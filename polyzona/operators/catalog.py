@@ -6,6 +6,7 @@ matches of one request on the driver, at most `limit` of them; more raise an err
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,28 +40,43 @@ def resolve(entries: DataFrame, bounds: tuple[float, float, float, float] | None
     return out.where("match <> 'unavailable'").withColumn("rank", F.row_number().over(order))
 
 
+_MATCH = ("id", "rank", "selection_group", "bbox_w", "bbox_s", "bbox_e", "bbox_n")
+
+
 def competes(a, b) -> bool:
-    """Two matches of which only one can be shown."""
-    if (a.country or a.dataset_id, a.parent_id or "", a.level, a.purpose) != (b.country or b.dataset_id, b.parent_id or "", b.level, b.purpose):
-        return False
+    """Two matches of one country, parent, level and purpose of which only one can be shown."""
     if a.selection_group or b.selection_group:
         return a.selection_group == b.selection_group
     return a.bbox_w <= b.bbox_e and a.bbox_e >= b.bbox_w and a.bbox_s <= b.bbox_n and a.bbox_n >= b.bbox_s
 
 
-def select_competing(matches: DataFrame, limit: int = 10_000) -> DataFrame:
-    """id and selected: by rank, a match is dropped if it competes with one chosen before."""
-    rows = matches.orderBy("rank").limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"a request matches more than {limit} entries")
+def _choose(pdf: pd.DataFrame) -> pd.DataFrame:
     chosen: list = []
     out = []
-    for r in rows:
+    for r in pdf.sort_values(["rank", "id"]).itertuples():
         ok = not any(competes(r, c) for c in chosen)
         if ok:
             chosen.append(r)
         out.append((r.id, ok))
-    return matches.sparkSession.createDataFrame(out, "id string, selected boolean")
+    return pd.DataFrame(out, columns=["id", "selected"])
+
+
+def select_competing(matches: DataFrame) -> DataFrame:
+    """id and selected: by rank, a match is dropped if it competes with one chosen before.
+
+    Only matches of one country (or dataset), parent, level and purpose compete, so each such group is gone through by
+    itself, in a task of its own: variants of one area, a few at most.
+    """
+    keyed = matches.select(
+        *_MATCH[:2],
+        F.coalesce("selection_group", F.lit("")).alias("selection_group"),
+        *_MATCH[3:],
+        F.coalesce("country", "dataset_id").alias("_country"),
+        F.coalesce("parent_id", F.lit("")).alias("_parent"),
+        "level",
+        "purpose",
+    )
+    return keyed.groupBy("_country", "_parent", "level", "purpose").applyInPandas(_choose, "id string, selected boolean")
 
 
 def latest_versions(datasets: DataFrame, wanted: str | None = None, prereleases: bool = False) -> DataFrame:
@@ -83,9 +99,9 @@ def best_artifact(artifacts: DataFrame, level: int, formats: list[str]) -> DataF
 
 
 def merge_datasets(zones: DataFrame, mode: str = "error") -> DataFrame:
-    """zones(dataset_id, id, parent_id, ...) of several datasets as one; namespace prefixes ids that occur twice or more.
+    """zones(dataset_id, id, parent_id, ...) of several datasets as one; namespace prefixes all ids from the start.
 
-    With mode error such ids raise. References follow within their dataset.
+    With mode error ids that occur in more than one dataset raise. References follow within their dataset.
     """
     twice = zones.groupBy("id").agg(F.countDistinct("dataset_id").alias("n")).where("n > 1").select("id")
     if mode == "error":

@@ -1,7 +1,7 @@
 """Parents, children, ancestors, descendants, cycles, and parents found by position.
 
-Walks go one level a step by joins on (child, parent) edges, so their cost is the edges walked, and their number the
-depth of the hierarchy, a handful. Hierarchies that hold cycles end at max_depth.
+Walks are by pointer doubling: step k joins zones with those 2**k above them, so a hierarchy of depth d takes log2(d)
+joins, whatever its depth. A chain of parents that comes back to a zone it passed ends there.
 """
 
 from __future__ import annotations
@@ -25,39 +25,52 @@ def children(zones: DataFrame) -> DataFrame:
     return zones.where("parent_id IS NOT NULL").groupBy("parent_id").agg(F.array_sort(F.collect_list("id")).alias("child_ids"))
 
 
-def ancestors(zones: DataFrame, max_depth: int = 32) -> DataFrame:
+def _edges(zones: DataFrame) -> DataFrame:
+    """id, up: zones with their parents that are there."""
+    there = zones.select(F.col("id").alias("up")).distinct()
+    return staged(zones.where("parent_id IS NOT NULL").select("id", F.col("parent_id").alias("up")).distinct().join(there, "up", "left_semi").select("id", "up"))
+
+
+def _doubled(jump: DataFrame) -> DataFrame:
+    """id and the zone twice as far above it."""
+    return staged(jump.join(jump.select(F.col("id").alias("up"), F.col("up").alias("_next")), "up").select("id", F.col("_next").alias("up")))
+
+
+def _looped(edges: DataFrame) -> DataFrame:
+    """Of edges(id, up) the ids that still have a zone above them after more steps than there are zones."""
+    n, steps, jump = edges.count(), 1, edges
+    while steps <= n and not jump.isEmpty():
+        jump, steps = _doubled(jump), steps * 2
+    return jump.select("id").distinct()
+
+
+def ancestors(zones: DataFrame) -> DataFrame:
     """id, ancestor_id, distance: every zone with each of those above it, nearest at distance 1."""
-    edges = zones.where("parent_id IS NOT NULL").select("id", F.col("parent_id").alias("up"))
-    there = zones.select(F.col("id").alias("up"))
-    step = staged(edges.join(there, "up", "left_semi").select("id", "up"))
-    out, depth = step.select("id", F.col("up").alias("ancestor_id"), F.lit(1).alias("distance")), 1
-    above = step.select(F.col("id").alias("up"), F.col("up").alias("next"))
-    while depth < max_depth:
-        step, depth = staged(step.join(above, "up").select("id", F.col("next").alias("up"))), depth + 1
-        if step.isEmpty():
+    edges = _edges(zones)
+    loops = not _looped(edges).isEmpty()
+    n, steps, jump = edges.count(), 1, edges
+    reach = edges.select("id", F.col("up").alias("ancestor_id"), F.lit(1).alias("distance"))
+    while steps <= n:
+        further = reach.select(F.col("id").alias("up"), F.col("ancestor_id").alias("_a"), F.col("distance").alias("_d"))
+        more = jump.join(further, "up").select("id", F.col("_a").alias("ancestor_id"), (F.col("_d") + steps).alias("distance"))
+        reach = reach.unionByName(more)
+        if loops:
+            # Around a loop every zone is met again and again: the first time counts.
+            reach = reach.where("id <> ancestor_id").groupBy("id", "ancestor_id").agg(F.min("distance").alias("distance"))
+        reach, jump, steps = staged(reach), _doubled(jump), steps * 2
+        if jump.isEmpty():
             break
-        out = out.unionByName(step.select("id", F.col("up").alias("ancestor_id"), F.lit(depth).alias("distance")))
-    return out
+    return reach
 
 
-def descendants(zones: DataFrame, max_depth: int = 32) -> DataFrame:
+def descendants(zones: DataFrame) -> DataFrame:
     """id, descendant_id, distance."""
-    return ancestors(zones, max_depth).select(F.col("ancestor_id").alias("id"), F.col("id").alias("descendant_id"), "distance")
+    return ancestors(zones).select(F.col("ancestor_id").alias("id"), F.col("id").alias("descendant_id"), "distance")
 
 
-def in_cycle(zones: DataFrame, max_depth: int = 32) -> DataFrame:
+def in_cycle(zones: DataFrame) -> DataFrame:
     """id of the zones whose chain of parents comes back to a zone that it passed."""
-    edges = zones.where("parent_id IS NOT NULL").select("id", F.col("parent_id").alias("up"))
-    above = edges.select(F.col("id").alias("up"), F.col("up").alias("next"))
-    walk, found = edges.select("id", "up", F.array("id").alias("seen")), None
-    for _ in range(max_depth):
-        hit = walk.where(F.array_contains("seen", F.col("up"))).select("id")
-        found = hit if found is None else found.unionByName(hit)
-        walk = walk.where(~F.array_contains("seen", F.col("up"))).withColumn("seen", F.array_append("seen", F.col("up"))).join(above, "up").select("id", F.col("next").alias("up"), "seen")
-        walk = staged(walk)
-        if walk.isEmpty():
-            break
-    return found.distinct()
+    return _looped(_edges(zones))
 
 
 def rollup_to_ancestors(values: DataFrame, zones: DataFrame, key: str, *aggregates) -> DataFrame:

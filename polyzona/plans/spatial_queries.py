@@ -232,17 +232,29 @@ def hier_descendants(spark: SparkSession, sf: str) -> DataFrame:
     return H.descendants(X.zones(spark, sf))
 
 
-_LOOPS = "SELECT CAST(p_partkey AS VARCHAR(20)) AS id, CAST(CASE WHEN p_partkey % 10 = 0 THEN p_partkey + 1 WHEN p_partkey % 10 = 3 THEN p_partkey - 3 ELSE p_partkey + 1 END AS VARCHAR(20)) AS parent_id FROM {part}"
+_LOOPS = "SELECT CAST(p_partkey AS VARCHAR(20)) AS id, CAST(CASE WHEN p_partkey <= 100 THEN p_partkey % 100 + 1 WHEN p_partkey % 10 = 0 THEN p_partkey + 1 WHEN p_partkey % 10 = 3 THEN p_partkey - 3 ELSE p_partkey + 1 END AS VARCHAR(20)) AS parent_id FROM {part}"
 
 
 @R.add("hier_cycles", f"""WITH RECURSIVE z AS ({_LOOPS.format(part="part")}),
-walk AS (SELECT id, parent_id AS up, [id] AS seen FROM z UNION ALL SELECT w.id, z.parent_id, list_append(seen, up) FROM walk w JOIN z ON z.id = w.up WHERE NOT list_contains(seen, w.up) AND len(seen) < 32)
+walk AS (SELECT id, parent_id AS up, [id] AS seen FROM z UNION ALL SELECT w.id, z.parent_id, list_append(seen, up) FROM walk w JOIN z ON z.id = w.up WHERE NOT list_contains(seen, w.up))
 SELECT DISTINCT id FROM walk WHERE list_contains(seen, up)""")
 def hier_cycles(spark: SparkSession, sf: str) -> DataFrame:
-    """Parts linked in rings of four, with tails that lead into them."""
+    """Parts linked in a ring of a hundred and rings of four, with tails that lead into these."""
     return H.in_cycle(spark.sql(_LOOPS, part=X.read(spark, sf, "part")))
 
 
+_CHAIN = "SELECT p_partkey AS id, CASE WHEN p_partkey % 100 <> 0 THEN p_partkey - 1 END AS parent_id FROM {part}"
+
+
+@R.add("hier_deep_chains", f"""WITH RECURSIVE z AS ({_CHAIN.format(part="part")}), up AS (SELECT id, parent_id AS a, 1 AS d FROM z WHERE parent_id IS NOT NULL
+ UNION ALL SELECT up.id, z.parent_id, d + 1 FROM up JOIN z ON z.id = up.a WHERE z.parent_id IS NOT NULL)
+SELECT id, count(*) AS ancestors, CAST(sum(a * d) AS BIGINT) AS weighted, max(d) AS deepest FROM up GROUP BY 1""")
+def hier_deep_chains(spark: SparkSession, sf: str) -> DataFrame:
+    """Chains of a hundred parts."""
+    found = H.ancestors(spark.sql(_CHAIN, part=X.read(spark, sf, "part")))
+    return found.groupBy("id").agg(F.count("*").alias("ancestors"), F.sum(F.col("ancestor_id") * F.col("distance")).alias("weighted"), F.max("distance").alias("deepest"))
+
+
 @R.add("hier_resolve_parents", f"""WITH {Z}, c AS (SELECT row_number() OVER (ORDER BY id) AS pid, id, parent_id, (w + e) / 2 AS x, (s + n) / 2 AS y FROM boxes WHERE level = 2),
 p AS (SELECT pid, x, y FROM c WHERE pid % 3 <> 0), {_RINGS},
 found AS (SELECT DISTINCT pid, id FROM (SELECT pid, id, level, poly, bool_or(ring = 0 AND odd) AND NOT bool_or(ring > 0 AND odd) AS inside FROM hits GROUP BY ALL) WHERE inside AND level = 1),

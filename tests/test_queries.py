@@ -3,11 +3,11 @@
 import duckdb
 import pytest
 
-from polyzona.plans import spatial_queries, table_queries
+from polyzona.plans import record_queries, spatial_queries, table_queries
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-QUERIES = spatial_queries.R.queries | table_queries.R.queries
-SQL = spatial_queries.R.sql | table_queries.R.sql
+QUERIES = spatial_queries.R.queries | table_queries.R.queries | record_queries.R.queries
+SQL = spatial_queries.R.sql | table_queries.R.sql | record_queries.R.sql
 
 
 @pytest.fixture(scope="module")
