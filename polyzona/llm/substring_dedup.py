@@ -8,8 +8,8 @@ equal least ones), which a run of neighbouring windows shares: about a quarter o
 first level, none is lost, and at the wanted length a window represents itself.
 
 Null and blank texts have no words. Texts shorter than `length` keep all. A null doc_id neither gives nor takes
-matches. Rows with the same doc_id never match each other, since neither id is smaller. Windows of the wanted length are
-compared by 128-bit hashes, those of the levels before, which only say what is looked at further, by 64-bit ones.
+matches. Rows with the same doc_id never match each other, since neither id is smaller. Windows are compared by 64-bit
+hashes: n candidate windows give about n * n / 2**65 false matches, less than one up to some five billion of them.
 """
 
 from __future__ import annotations
@@ -25,9 +25,6 @@ from pyspark.sql import functions as F
 from .common import Rolling, Scratch, buffers, find_words, lean, signed, slices, word_hashes
 
 
-_SECOND = Rolling(102)
-
-
 def _sequences(batch: pa.RecordBatch, length: int) -> Iterator[tuple]:
     """For slices of a batch: first row, data, offsets, word starts, ends, rows, word hashes, and which windows are whole."""
     data, off = buffers(batch.column("text"))
@@ -57,8 +54,7 @@ def _least(words: np.ndarray, length: int, width: int) -> np.ndarray:
 
 
 def _level(length: int, before: int | None, width: int):
-    """(key, second, doc_id): the representatives at that width of the windows whose representatives at the width before
-    are in keys; second completes the hashes of whole windows and is 0 on the levels before."""
+    """(key, doc_id): the representatives at that width of the windows whose representatives at the width before are in keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -77,10 +73,9 @@ def _level(length: int, before: int | None, width: int):
                 if not len(at):
                     continue
                 key, doc = _least(words, length, width)[at], row[at]
-                second = _SECOND.windows(words, length)[at] if width == length else np.zeros(len(at), np.uint64)
                 new = np.ones(len(at), bool)
                 new[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
-                yield pa.RecordBatch.from_arrays([signed(key[new]), signed(second[new]), pa.array(ids[i + doc[new]])], names=["key", "second", "doc_id"])
+                yield pa.RecordBatch.from_arrays([signed(key[new]), pa.array(ids[i + doc[new]])], names=["key", "doc_id"])
 
     return lean(run)
 
@@ -136,17 +131,15 @@ def dedup_substrings(docs: DataFrame, length: int = 13, texts: bool = False, sta
         raise ValueError("length must be 2 or more, start 1 or more")
     scratch = Scratch(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows, schema, before = docs.where("doc_id IS NOT NULL"), "key long, second long, doc_id long", None
+    rows, before = docs.where("doc_id IS NOT NULL"), None
     for width in widths(length, start):
-        level = rows.mapInArrow(_level(length, before, width), schema)
+        level = rows.mapInArrow(_level(length, before, width), "key long, doc_id long")
         # The first level is computed twice, since it is too large to write; those after it are small.
         level = scratch.write(level) if before else level
-        ends = level.groupBy("key", "second").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").drop("hi")
+        ends = level.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").drop("hi")
         first = scratch.write(ends if width == length else ends.select("key"))
-        if width == length:
-            found = level.join(first, ["key", "second"]).where("lo < doc_id")
-        else:
-            found = level.drop("second").join(first, "key")
+        found = level.join(first, "key")
+        found = found.where("lo < doc_id") if width == length else found
         found = scratch.write(found.groupBy("doc_id").agg(F.collect_set("key").alias("keys")))
         scratch.drop(first)
         if width == length or found.isEmpty():
