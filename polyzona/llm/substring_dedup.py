@@ -131,7 +131,7 @@ def dedup_substrings(docs: DataFrame, length: int = 13, texts: bool = False, sta
         raise ValueError("length must be 2 or more, start 1 or more")
     scratch = Scratch(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows, before = docs.where("doc_id IS NOT NULL"), None
+    rows, before, used = docs.where("doc_id IS NOT NULL"), None, []
     for width in widths(length, start):
         level = rows.mapInArrow(_level(length, before, width), "key long, doc_id long")
         # The first level is computed twice, since it is too large to write; those after it are small.
@@ -141,9 +141,10 @@ def dedup_substrings(docs: DataFrame, length: int = 13, texts: bool = False, sta
         found = level.join(first, "key")
         found = found.where("lo < doc_id") if width == length else found
         found = scratch.write(found.groupBy("doc_id").agg(F.collect_set("key").alias("keys")))
-        scratch.drop(first)
+        # What this level was made of is not read again.
+        scratch.drop(first, *used, *([level] if before else []))
         if width == length or found.isEmpty():
             break
-        rows, before = docs.where("doc_id IS NOT NULL").join(found, "doc_id"), width
+        rows, before, used = docs.where("doc_id IS NOT NULL").join(found, "doc_id"), width, [found]
     out = "doc_id long, n_words long, n_removed long, n_spans long, kept_sha256 string" + (", kept string" if texts else "")
     return docs.join(found, "doc_id", "left").select("doc_id", "text", "keys").mapInArrow(_mark(length, texts), out)
