@@ -407,45 +407,45 @@ def geo_bbox_union(spark: SparkSession, sf: str) -> DataFrame:
 # ---------------------------------------------------------------- orders
 
 
-def _order(name: str, sql: str, make, *keys) -> None:
-    """A table with its rows' places in an order."""
+def _order(name: str, sql: str, make, *keys: str) -> None:
+    """A table with its rows' places in an order, by SQL expressions, a minus before those that go down."""
 
     @R.add(name, sql)
     def query(spark: SparkSession, sf: str) -> DataFrame:
-        return D.numbered(make(spark, sf), *keys)
+        return D.numbered(make(spark, sf), *[F.expr(k[1:]).desc() if k[0] == "-" else F.expr(k) for k in keys])
 
 
-_order("sort_edges", f"WITH {_BOTH} SELECT *, row_number() OVER (ORDER BY from_id, to_id, type, source) AS place FROM e", _edges, F.col("from_id"), F.col("to_id"), F.col("type"), F.col("source"))
-_order("sort_index_records", f"WITH {Z} SELECT id, level, w, s, e, n, row_number() OVER (ORDER BY level, id) AS place FROM boxes", lambda spark, sf: X.zones(spark, sf).select("id", "level", *[F.col(f"bbox_{k}").alias(k) for k in "wsen"]), F.col("level"), F.col("id"))
+_order("sort_edges", f"WITH {_BOTH} SELECT *, row_number() OVER (ORDER BY from_id, to_id, type, source) AS place FROM e", _edges, "from_id", "to_id", "type", "source")
+_order("sort_index_records", f"WITH {Z} SELECT id, level, w, s, e, n, row_number() OVER (ORDER BY level, id) AS place FROM boxes", lambda spark, sf: X.zones(spark, sf).select("id", "level", *[F.col(f"bbox_{k}").alias(k) for k in "wsen"]), "level", "id")
 _order(
     "sort_runtime_zones",
     "WITH t AS (SELECT p_partkey AS id, CAST(p_size % 5 AS INT) AS level, p_brand AS dataset_id FROM part) SELECT *, row_number() OVER (ORDER BY level, dataset_id, id) AS place FROM t",
     lambda spark, sf: X.read(spark, sf, "part").selectExpr("p_partkey AS id", "CAST(p_size % 5 AS INT) AS level", "p_brand AS dataset_id"),
-    F.col("level"), F.col("dataset_id"), F.col("id"),
+    "level", "dataset_id", "id",
 )
 _order(
     "sort_catalog_entries",
     "WITH t AS (SELECT p_partkey AS k, p_size AS priority, p_brand AS dataset_id, p_type AS version FROM part) SELECT *, row_number() OVER (ORDER BY priority DESC, dataset_id, version, k) AS place FROM t",
     lambda spark, sf: X.read(spark, sf, "part").selectExpr("p_partkey AS k", "p_size AS priority", "p_brand AS dataset_id", "p_type AS version"),
-    F.col("priority").desc(), F.col("dataset_id"), F.col("version"), F.col("k"),
+    "-priority", "dataset_id", "version", "k",
 )
 _order(
     "sort_catalog_matches",
     "WITH t AS (SELECT p_partkey AS id, p_size AS priority, CASE WHEN p_partkey % 3 = 0 THEN 'fallback' ELSE 'exact' END AS match FROM part) SELECT *, row_number() OVER (ORDER BY CASE match WHEN 'exact' THEN 0 ELSE 1 END, priority DESC, id) AS place FROM t",
     lambda spark, sf: X.read(spark, sf, "part").selectExpr("p_partkey AS id", "p_size AS priority", "IF(p_partkey % 3 = 0, 'fallback', 'exact') AS match"),
-    (F.col("match") != "exact").cast("int"), F.col("priority").desc(), F.col("id"),
+    "match <> 'exact'", "-priority", "id",
 )
 _order(
     "sort_issues",
     "WITH t AS (SELECT p_partkey AS k, p_brand AS zone_id, CASE WHEN p_size % 2 = 0 THEN p_type END AS path, p_name AS code FROM part) SELECT *, row_number() OVER (ORDER BY zone_id, coalesce(path, ''), code, k) AS place FROM t",
     lambda spark, sf: X.read(spark, sf, "part").selectExpr("p_partkey AS k", "p_brand AS zone_id", "IF(p_size % 2 = 0, p_type, NULL) AS path", "p_name AS code"),
-    F.col("zone_id"), F.coalesce("path", F.lit("")), F.col("code"), F.col("k"),
+    "zone_id", "coalesce(path, '')", "code", "k",
 )
 _order(
     "sort_tiles",
     "WITH t AS (SELECT p_partkey AS k, CAST(p_size % 4 AS INT) AS z, CAST(p_partkey % 13 AS INT) AS x, CAST(p_partkey % 7 AS INT) AS y FROM part) SELECT *, row_number() OVER (ORDER BY z, x, y, k) AS place FROM t",
     lambda spark, sf: X.read(spark, sf, "part").selectExpr("p_partkey AS k", "CAST(p_size % 4 AS INT) AS z", "CAST(p_partkey % 13 AS INT) AS x", "CAST(p_partkey % 7 AS INT) AS y"),
-    F.col("z"), F.col("x"), F.col("y"), F.col("k"),
+    "z", "x", "y", "k",
 )
 
 # ---------------------------------------------------------------- reports
