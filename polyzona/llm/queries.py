@@ -57,7 +57,7 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes covered by 400-byte strings that occur twice or more go."""
-    return dedup_bytes(_table(spark, sf_dir, "documents"), length=400)
+    return dedup_bytes(_table(spark, sf_dir, "documents"), length=400, triples=True)
 
 
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

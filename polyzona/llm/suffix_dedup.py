@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Rolling, Scratch, buffers, lean, mixed, signed, slices
+from .difference_cover import equal_starts
 
 REACH, GRAM = 128, 32
 _SYMBOL = mixed(np.arange(256, dtype=np.uint64) + np.uint64(5000))
@@ -208,7 +209,7 @@ def _mark(length: int, under: int, texts: bool):
     return lean(run)
 
 
-def repeats(texts: DataFrame, length: int, passage: int, scratch: Scratch) -> DataFrame:
+def repeats(texts: DataFrame, length: int, passage: int, scratch: Scratch, triples: bool) -> DataFrame:
     """(key, lo, hi, at): of texts(key, text), lists of the runs of places at which repeated strings of `length` bytes start,
     and of the samples whose names of step 1 occur elsewhere."""
     long_enough = texts.where(F.octet_length("text") >= passage)
@@ -235,17 +236,20 @@ def repeats(texts: DataFrame, length: int, passage: int, scratch: Scratch) -> Da
     open_names = scratch.write(runs3.where("NOT done").select("short").distinct(), sweep=False)
     asked = runs3.where("NOT done OR stands").distinct().join(open_names, "short").groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("r"))
     asked = asked.selectExpr("key", "transform(r, x -> x.lo) AS lo", "transform(r, x -> x.hi) AS hi")
-    strings = scratch.write(texts.join(asked, "key").mapInArrow(_strings(length), "name long, name2 long, key long, at int"))
-    found = scratch.write(strings.groupBy("name", "name2").count().where("count > 1").select("name", "name2"))
-    hits = strings.join(found, ["name", "name2"]).selectExpr("key", "at AS lo", "at AS hi")
+    if triples:
+        hits = equal_starts(texts, asked, length, scratch).selectExpr("key", "at AS lo", "at AS hi")
+    else:
+        strings = scratch.write(texts.join(asked, "key").mapInArrow(_strings(length), "name long, name2 long, key long, at int"))
+        found = scratch.write(strings.groupBy("name", "name2").count().where("count > 1").select("name", "name2"))
+        hits = strings.join(found, ["name", "name2"]).selectExpr("key", "at AS lo", "at AS hi")
     marks = hits.unionByName(runs3.where("done").select("key", "lo", "hi")).groupBy("key").agg(F.collect_set(F.struct("lo", "hi")).alias("r"))
     marks = marks.selectExpr("key", "transform(r, x -> x.lo) AS lo", "transform(r, x -> x.hi) AS hi")
     marks = scratch.write(samples.join(marks, "key", "left"))
-    scratch.drop(runs3, open_names, strings, found, samples)
+    scratch.drop(runs3, open_names, samples, *(() if triples else (strings, found)))
     return marks
 
 
-def dedup_bytes(docs: DataFrame, length: int = 400, texts: bool = False, passage: int = 285) -> DataFrame:
+def dedup_bytes(docs: DataFrame, length: int = 400, texts: bool = False, passage: int = 285, triples: bool = False) -> DataFrame:
     """One row per row of docs(doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passage (bytes under
     sampled names that occur elsewhere: every repeated string of `passage` bytes has one) and, with texts, the kept bytes."""
     passage = min(passage, length)
@@ -253,6 +257,6 @@ def dedup_bytes(docs: DataFrame, length: int = 400, texts: bool = False, passage
         raise ValueError(f"length and passage must be {REACH + GRAM} or more")
     scratch = Scratch(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.col("doc_id").cast("long"), "text").alias("key"))
-    marks = repeats(rows.select("key", "text"), length, passage, scratch)
+    marks = repeats(rows.select("key", "text"), length, passage, scratch, triples)
     out = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passage long" + (", kept binary" if texts else "")
     return rows.join(marks, "key", "left").select("doc_id", "text", "lo", "hi", "at").mapInArrow(_mark(length, passage - REACH + 1, texts), out)

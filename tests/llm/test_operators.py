@@ -177,29 +177,31 @@ def brute_bytes(table, n):
     return out
 
 
-def test_bytes(spark, empty):
+@pytest.mark.parametrize("triples", [True, False])
+def test_bytes(spark, empty, triples):
     rng = np.random.default_rng(5)
     noise = lambda n: bytes(rng.integers(97, 123, n).astype(np.uint8)).decode()
     a, b = noise(700), noise(420)
     table = [(d, t) for d, t, *_ in rows()]
     table += [(20, a), (21, noise(50) + a[100:650] + noise(80)), (22, b + noise(9) + b), (23, "ab" * 700), (24, a[:399]), (25, "é" * 300), (26, noise(2000)), (27, noise(30) + b)]
     df = spark.createDataFrame(table, "doc_id long, text string").repartition(4)
-    got = suffix_dedup.dedup_bytes(df)
+    got = suffix_dedup.dedup_bytes(df, triples=triples)
     assert bag(got.drop("n_passage")) == brute_bytes(table, 400)
     # Whoever has a repeated string of 285 bytes has bytes under names; whoever has none of 158 has not.
     near = Counter((r.doc_id, r.n_bytes, r.n_passage > 0) for r in got.collect())
     for n, has in ((285, True), (158, False)):
         for k, c in brute_bytes(table, n).items():
             assert (k[2] > 0) != has or near[k[0], k[1], has] >= c
-    assert suffix_dedup.dedup_bytes(empty).count() == 0
+    assert suffix_dedup.dedup_bytes(empty, triples=triples).count() == 0
 
 
+@pytest.mark.parametrize("triples", [True, False])
 @pytest.mark.parametrize("n", [160, 250])
-def test_bytes_other_lengths(spark, n):
+def test_bytes_other_lengths(spark, n, triples):
     rng = np.random.default_rng(n)
     pool = [bytes(rng.integers(97, 100, 180).astype(np.uint8)).decode() for _ in range(4)]
     table = [(i, "".join(pool[k] for k in rng.integers(0, 4, 4)) + str(i)) for i in range(30)]
-    assert bag(suffix_dedup.dedup_bytes(spark.createDataFrame(table, "doc_id long, text string"), n, passage=160).drop("n_passage")) == brute_bytes(table, n)
+    assert bag(suffix_dedup.dedup_bytes(spark.createDataFrame(table, "doc_id long, text string"), n, passage=160, triples=triples).drop("n_passage")) == brute_bytes(table, n)
 
 
 def test_bytes_of_a_corpus(spark, data):
