@@ -1,14 +1,13 @@
 """Equal strings of one length, by the difference cover of triples, cut off where the names reach that length.
 
-Positions whose id is 1 or 2 modulo 3 are sampled. Their first triples are three words of eight bytes; equal triples get
-one name, that of their least position, and the names of positions at fixed steps are the triples of the next level,
-until a name stands for nearly `length` bytes. A name found once ends there: no string with it occurs elsewhere. Names
-are compared as they are, so there are no false matches; as only equality is asked for, they need no order. Strings are
-then merged with the sampled position that both have at one offset (0, 1 or 2), the few bytes before and after it
-being compared as such.
-
-Only the parts of the texts that the runs asked about lie in take part. A level shuffles 2 of 3 positions three times:
-for its names, to return these, and for the triples of the next level.
+Positions whose id is 1 or 2 modulo 3 are sampled. Their first triples are three words of 44 bytes, known by 128 bits;
+equal triples get one name, that of their least position, and the names of positions at fixed steps are the triples of
+the next level, until a name stands for nearly `length` bytes. A name found once ends there: no string with it occurs
+elsewhere. As only equality is asked for, names need no order. Strings are then merged with the sampled position that
+both have at one offset (0, 1 or 2), the few bytes before and after it being compared as such.
+
+Only positions that some string asked about needs take part. A level shuffles them three times: for their names, to
+return these, and for the triples of the next level.
 """
 
 from __future__ import annotations
@@ -21,9 +20,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, buffers, lean
+from .common import Rolling, Scratch, buffers, lean, mixed
 
-FIRST = 24
+WORD = 44
+FIRST = 3 * WORD
+_SYMBOL = mixed(np.arange(256, dtype=np.uint64) + np.uint64(5000))
 
 
 def steps(length: int) -> tuple[list[int], int]:
@@ -82,17 +83,31 @@ def _gathered(rows: Iterator[list[np.ndarray]], names: list[str], limit: int = 1
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], names=names)
 
 
-def _triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def rows() -> Iterator[list[np.ndarray]]:
+def _triples(levels: list[int]):
+    """(base, id, a, b): the first triples of the sampled positions whose names the strings are made of."""
+    places = [0]
+    for step in levels:
+        places = sorted({p + k * step for p in places for k in range(3)})
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+        both = Rolling(402), Rolling(403)
         for batch in batches:
             data, off = buffers(batch.column("part"))
-            for r, base in enumerate(batch.column("base").to_pylist()):
-                words = _packed(data[off[r] : off[r + 1]], 8).view(np.int64)
-                at = np.arange(len(words) - FIRST + 8)
+            columns = zip(batch.column("base").to_pylist(), batch.column("lo").to_pylist(), batch.column("hi").to_pylist())
+            for r, (base, lo, hi) in enumerate(columns):
+                part = data[off[r] : off[r + 1]]
+                edge = np.zeros(len(part) + 4, np.int64)
+                for p in places:
+                    np.add.at(edge, np.array(lo) + p, 1)
+                    np.add.at(edge, np.array(hi) + p + 3, -1)
+                at = np.flatnonzero(np.cumsum(edge)[: max(len(part) - FIRST + 1, 0)] > 0)
                 at = at[(base + at) % 3 != 0]
-                yield [np.full(len(at), base), base + at, words[at], words[at + 8], words[at + 16]]
+                yield [np.full(len(at), base), base + at, *(h.windows(_SYMBOL[part], FIRST)[at].view(np.int64) for h in both)]
 
-    yield from _gathered(rows(), ["base", "id", "a", "b", "c"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _gathered(rows(batches), ["base", "id", "a", "b"])
+
+    return lean(run)
 
 
 def _merged(length: int, width: int):
@@ -122,18 +137,18 @@ def _merged(length: int, width: int):
 
 def _named(triples: DataFrame, scratch: Scratch) -> DataFrame:
     """(base, id, name) of the triples found twice or more."""
-    equal = triples.groupBy("a", "b", "c").agg(F.min("id").alias("name"), F.count("*").alias("n")).where("n > 1").drop("n")
-    equal = scratch.write(equal)
-    out = scratch.write(triples.join(equal, ["a", "b", "c"]).select("base", "id", "name"))
+    parts = [c for c in triples.columns if c not in ("base", "id")]
+    equal = scratch.write(triples.groupBy(*parts).agg(F.min("id").alias("name"), F.count("*").alias("n")).where("n > 1").drop("n"))
+    out = scratch.write(triples.join(equal, parts).select("base", "id", "name"))
     scratch.drop(equal)
     return out
 
 
 def equal_starts(texts: DataFrame, asked: DataFrame, length: int, scratch: Scratch) -> DataFrame:
     """(key, at): the places asked(key, lo, hi) in texts(key, text) whose strings start at another place asked, too."""
-    parts = scratch.write(texts.join(asked, "key").mapInArrow(_parts(length), "base long, key long, first int, part binary, lo array<int>, hi array<int>"))
-    names = _named(parts.select("base", "part").mapInArrow(lean(_triples), "base long, id long, a long, b long, c long"), scratch)
     levels, width = steps(length)
+    parts = scratch.write(texts.join(asked, "key").mapInArrow(_parts(length), "base long, key long, first int, part binary, lo array<int>, hi array<int>"))
+    names = _named(parts.select("base", "part", "lo", "hi").mapInArrow(_triples(levels), "base long, id long, a long, b long"), scratch)
     of_part = Window.partitionBy("base").orderBy("id")
     for step in levels:
         further = [F.max("name").over(of_part.rangeBetween(k, k)) for k in (step, 2 * step)]
