@@ -17,8 +17,8 @@ sample, and equal neighbours are compared:
 4. of names from step 2 with a run that is left, that run and one run for each name of step 3 are taken byte by byte:
    strings of equal name are repeats.
 
-The textbook form (triples at positions 1 and 2 modulo 3, sorted, recursively renamed, for every byte) is not used: see
-the README for its figures. Names in steps 3 and 4 have 128 bits, so that 10**12 of them give no false match; those of
+With `triples`, step 4 is done by a difference cover of triples (difference_cover.py) instead; the registered query does
+without, see the README for figures. Names in steps 3 and 4 have 128 bits, so that 10**12 of them give no false match; those of
 the steps before have 64 bits and decide what is looked at, and n_passage.
 
 Null texts are empty; texts shorter than `length` keep all. Rows are known by a hash of doc_id and text: equal rows are
