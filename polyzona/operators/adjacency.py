@@ -27,7 +27,7 @@ def segments(zones: DataFrame, holes: bool = False) -> DataFrame:
 def candidate_pairs(zones: DataFrame, same_level: bool = True, same_parent: bool = True, eps: float = G.LOOSE) -> DataFrame:
     """a, b (a < b): zones whose bboxes meet, of the same level and parent unless told otherwise."""
     boxes = zones.select("id", "level", "parent_id", *_BOX)
-    a, b = cells.own_cells(boxes).alias("a"), cells.box_cells(boxes, cells.occurring_grids(boxes), not_finer=True).alias("b")
+    a, b = cells.own_cells(boxes).alias("a"), cells.box_cells(boxes, cells.occurring_grids(boxes)).alias("b")
     on = cells.same_cell("a", "b") & cells.boxes_meet("a", "b", eps) & F.expr("a.id <> b.id")
     if same_level:
         on = on & F.expr("a.level = b.level")

@@ -37,15 +37,17 @@ def own_cells(boxes: DataFrame) -> DataFrame:
 
 
 def point_cells(points: DataFrame, grids: list[int], x: str = "x", y: str = "y") -> DataFrame:
-    """points with one row for each grid."""
-    keyed = points.where(~F.isnan(x) & ~F.isnan(y)).withColumn("_g", F.explode(F.array(*[F.lit(g) for g in grids]).cast("array<int>")))
-    return keyed.withColumn("_cx", _cell(F.col(x), F.col("_g"))).withColumn("_cy", _cell(F.col(y), F.col("_g")))
+    """points with one row for each grid; points off the map (null, NaN, infinite) keep one row, without a cell."""
+    at = lambda c: F.abs(F.col(c)) <= 1e9  # noqa: E731  false for NaN and infinities
+    levels = F.array(*[F.lit(g) for g in grids]).cast("array<int>")
+    keyed = points.withColumn("_g", F.explode_outer(F.when(at(x) & at(y), levels)))
+    return keyed.withColumn("_cx", F.when(F.col("_g").isNotNull(), _cell(F.col(x), F.col("_g")))).withColumn("_cy", F.when(F.col("_g").isNotNull(), _cell(F.col(y), F.col("_g"))))
 
 
-def box_cells(boxes: DataFrame, grids: list[int], not_finer: bool = False) -> DataFrame:
-    """boxes with one row for each cell they reach on each grid, or on the grids not finer than their own."""
-    levels = F.array(*[F.lit(g) for g in grids]).cast("array<int>")
-    keyed = boxes.withColumn("_g", F.explode(F.filter(levels, lambda g: g >= grid_of()) if not_finer else levels))
+def box_cells(boxes: DataFrame, grids: list[int], above: bool = False) -> DataFrame:
+    """boxes with one row for each cell they reach on each grid not finer than their own, or coarser with above: four a grid at most."""
+    levels, own = F.array(*[F.lit(g) for g in grids]).cast("array<int>"), grid_of()
+    keyed = boxes.withColumn("_g", F.explode(F.filter(levels, lambda g: g > own if above else g >= own)))
     span = lambda a, b: F.sequence(_cell(F.col(a), F.col("_g")), _cell(F.col(b), F.col("_g")))
     return keyed.withColumn("_cx", F.explode(span("bbox_w", "bbox_e"))).withColumn("_cy", F.explode(span("bbox_s", "bbox_n")))
 
@@ -64,3 +66,16 @@ def boxes_meet(a: str, b: str, eps: float = 0.0) -> Column:
 
 def same_cell(a: str, b: str) -> Column:
     return F.expr(f"{a}._g = {b}._g AND {a}._cx = {b}._cx AND {a}._cy = {b}._cy")
+
+
+def meeting(a: DataFrame, b: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Structs a and b for the pairs of rows whose boxes meet and whose keys are equal, once each.
+
+    A pair is keyed on the coarser of its two boxes' grids, so a box is in four cells at most on each grid that occurs,
+    whatever the sizes of its partners.
+    """
+    on = same_cell("a", "b") & boxes_meet("a", "b") & in_reference_cell("a", "b")
+    for k in keys:
+        on = on & (F.col(f"a.{k}") == F.col(f"b.{k}"))
+    both = lambda p, q: p.alias("a").join(q.alias("b"), on).select(F.struct("a.*").alias("a"), F.struct("b.*").alias("b"))
+    return both(own_cells(a), box_cells(b, occurring_grids(a))).unionByName(both(box_cells(a, occurring_grids(b), above=True), own_cells(b)))

@@ -12,25 +12,32 @@ _BOX = ["bbox_w", "bbox_s", "bbox_e", "bbox_n"]
 
 
 def candidates(points: DataFrame, zones: DataFrame, level: int | None = None) -> DataFrame:
-    """Pairs p, z (structs) of points and zones whose bbox holds the point."""
-    zones = zones if level is None else zones.where(F.col("level") == level)
-    boxes = zones.select("id", "level", *_BOX)
+    """points with zone_id for every zone whose bbox holds them."""
+    boxes = (zones if level is None else zones.where(F.col("level") == level)).select("id", *_BOX)
     keyed, found = cells.point_cells(points, cells.occurring_grids(boxes)).alias("p"), cells.own_cells(boxes).alias("z")
     inside = F.expr("p.x BETWEEN z.bbox_w AND z.bbox_e AND p.y BETWEEN z.bbox_s AND z.bbox_n")
     return keyed.join(found, cells.same_cell("p", "z") & inside).select(*[F.col(f"p.{c}").alias(c) for c in points.columns], F.col("z.id").alias("zone_id"))
 
 
+def _keyed(points: DataFrame, zones: DataFrame, level: int | None, covers: bool, how: str) -> DataFrame:
+    """points joined as p with the cells of zones as z, by one shuffle or broadcast; shapes travel with the cells, four a zone at most."""
+    zones = zones if level is None else zones.where(F.col("level") == level)
+    boxes = zones.select("id", "level", "polys", *_BOX)
+    keyed, found = cells.point_cells(points, cells.occurring_grids(boxes)).alias("p"), cells.own_cells(boxes).alias("z")
+    inside = F.expr("p.x BETWEEN z.bbox_w AND z.bbox_e AND p.y BETWEEN z.bbox_s AND z.bbox_n")
+    return keyed.join(found, cells.same_cell("p", "z") & inside & G.pip_query(F.col("p.x"), F.col("p.y"), F.col("z.polys"), covers), how)
+
+
 def matches(points: DataFrame, zones: DataFrame, level: int | None = None, covers: bool = True) -> DataFrame:
-    """points with zone_id and level for every zone that holds them exactly."""
-    shapes = zones.select(F.col("id").alias("zone_id"), F.col("level").alias("zone_level"), "polys")
-    pairs = candidates(points, zones, level).join(shapes, "zone_id")
-    return pairs.where(G.pip_query(F.col("x"), F.col("y"), F.col("polys"), covers)).drop("polys")
+    """points with zone_id and zone_level for every zone that holds them exactly."""
+    found = _keyed(points, zones, level, covers, "inner")
+    return found.select(*[F.col(f"p.{c}").alias(c) for c in points.columns], F.col("z.id").alias("zone_id"), F.col("z.level").alias("zone_level"))
 
 
 def locate(points: DataFrame, zones: DataFrame, key: str, level: int | None = None, covers: bool = True) -> DataFrame:
-    """key and zone_id for every point: of its zones the deepest, then the least id; null where there is none."""
-    best = matches(points, zones, level, covers).groupBy(key).agg(F.min(F.struct((-F.col("zone_level")).alias("d"), F.col("zone_id").alias("z"))).alias("m")).select(key, F.col("m.z").alias("zone_id"))
-    return points.select(key).join(best, key, "left")
+    """key and zone_id for every key of points, one point each: of its zones the deepest, then the least id; null where there is none."""
+    found = _keyed(points, zones, level, covers, "left").select(F.col(f"p.{key}").alias(key), F.when(F.col("z.id").isNotNull(), F.struct((-F.col("z.level")).alias("d"), F.col("z.id").alias("z"))).alias("m"))
+    return found.groupBy(key).agg(F.min("m").alias("m")).select(key, F.col("m.z").alias("zone_id"))
 
 
 def locate_by_scan(points: DataFrame, zones: DataFrame, key: str, level: int | None = None) -> DataFrame:
@@ -66,17 +73,13 @@ def window(zones: DataFrame, bounds: tuple[float, float, float, float], level: i
 
 def windows(requests: DataFrame, zones: DataFrame, key: str) -> DataFrame:
     """key and zone_id for many windows at once: requests(key, level, bbox_w, ...); a null level means all levels."""
-    boxes = zones.select("id", "level", *_BOX)
-    a, b = cells.own_cells(boxes).alias("a"), cells.box_cells(requests.select(key, F.col("level").alias("_level"), *_BOX), cells.occurring_grids(boxes)).alias("b")
-    on = cells.same_cell("a", "b") & cells.boxes_meet("a", "b") & cells.in_reference_cell("a", "b")
-    return a.join(b, on).where("b._level IS NULL OR a.level = b._level").select(f"b.{key}", F.col("a.id").alias("zone_id"))
+    found = cells.meeting(zones.select("id", "level", *_BOX), requests.select(key, F.col("level").alias("_level"), *_BOX))
+    return found.where("b._level IS NULL OR a.level = b._level").select(f"b.{key}", F.col("a.id").alias("zone_id"))
 
 
 def polygon_to_zones(polygons: DataFrame, zones: DataFrame, key: str, mode: str = "intersects", covers: bool = True) -> DataFrame:
     """key and zone_id for polygons(key, polys, bbox_w, ...): zones that meet them, or whose centre they contain."""
-    boxes = zones.select("id", "level", *_BOX)
-    a, b = cells.own_cells(boxes).alias("a"), cells.box_cells(polygons.select(key, *_BOX), cells.occurring_grids(boxes)).alias("b")
-    pairs = a.join(b, cells.same_cell("a", "b") & cells.boxes_meet("a", "b") & cells.in_reference_cell("a", "b")).select(f"b.{key}", F.col("a.id").alias("zone_id"))
+    pairs = cells.meeting(zones.select("id", *_BOX), polygons.select(key, *_BOX)).select(f"b.{key}", F.col("a.id").alias("zone_id"))
     pairs = pairs.join(zones.select(F.col("id").alias("zone_id"), F.col("polys").alias("_z"), "center_x", "center_y"), "zone_id").join(polygons.select(key, F.col("polys").alias("_q")), key)
     if mode == "intersects":
         hit = G.geometry_intersects(F.col("_q"), F.col("_z"), covers)

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from . import adjacency as A
+from . import cells
 from . import hierarchy as H
 
 _ISSUE = ["code", "severity", "zone_id", "path"]
@@ -56,14 +57,14 @@ def ring_issues(zones: DataFrame) -> DataFrame:
 
 
 def self_intersections(zones: DataFrame) -> DataFrame:
-    """Rings of which two sides that are not neighbours meet. Sides are joined within a ring only."""
-    s = A.segments(zones, holes=True)
-    ring = Window.partitionBy("id", "poly", "ring")
-    s = s.withColumns({"place": F.row_number().over(ring.orderBy("place")), "last": F.count("*").over(ring)})
-    side = lambda k: s.select("id", "poly", "ring", "last", F.col("place").alias(f"{k}_place"), F.struct("x1", "y1", "x2", "y2").alias(k))
-    pairs = side("l").join(side("r"), ["id", "poly", "ring", "last"]).where("l_place + 1 < r_place AND NOT (l_place = 1 AND r_place = last)")
-    pairs = pairs.where(G.segments_intersect(F.col("l"), F.col("r")))
-    return _issues(pairs.select("id", "poly", "ring").distinct(), "SELF_INTERSECTION", "error", path=_ring_path())
+    """Rings of which two sides that are not neighbours meet. Sides are joined within a ring and a grid cell only."""
+    sides = rings_of(zones).select("id", "poly", "ring", F.filter(G.segments(F.col("v")), lambda s: (s["x1"] != s["x2"]) | (s["y1"] != s["y2"])).alias("_s"))
+    s = sides.select("id", "poly", "ring", F.size("_s").alias("last"), F.posexplode("_s").alias("place", "side"))
+    ends = lambda f, c: f(F.col(f"side.{c}1"), F.col(f"side.{c}2"))
+    s = s.withColumns({"bbox_w": ends(F.least, "x"), "bbox_s": ends(F.least, "y"), "bbox_e": ends(F.greatest, "x"), "bbox_n": ends(F.greatest, "y")})
+    pairs = cells.meeting(s, s, keys=("id", "poly", "ring")).where("a.place + 1 < b.place AND NOT (a.place = 0 AND b.place + 1 = a.last)")
+    pairs = pairs.where(G.segments_intersect(F.col("a.side"), F.col("b.side")))
+    return _issues(pairs.select("a.id", "a.poly", "a.ring").distinct(), "SELF_INTERSECTION", "error", path=_ring_path())
 
 
 def hole_issues(zones: DataFrame) -> DataFrame:

@@ -106,6 +106,21 @@ def test_grid(spark):
     assert L.window(zones, (float("nan"), 0, 1, 1)).count() == 0
 
 
+def test_windows_of_all_sizes(spark):
+    zones = Y.grid(spark, 12, 9, 0.01).union(Y.grid(spark, 3, 3, 8.0).withColumn("id", F.concat(F.lit("w"), "id")))
+    rows = [(i, None, x, y, x + d, y + d) for i, (x, y, d) in enumerate((x, y, d) for x in (-200.0, 0.005, 0.03) for y in (-80.0, 0.0, 0.044) for d in (0.0, 0.001, 0.02, 0.3, 20.0, 400.0))]
+    asked = spark.createDataFrame(rows, "q int, level int, bbox_w double, bbox_s double, bbox_e double, bbox_n double")
+    boxes = zones.select("id", "bbox_w", "bbox_s", "bbox_e", "bbox_n").collect()
+    want = sorted((q, z.id) for q, _, w, s, e, n in rows for z in boxes if z.bbox_w <= e and z.bbox_e >= w and z.bbox_s <= n and z.bbox_n >= s)
+    assert sorted(map(tuple, L.windows(asked, zones, "q").collect())) == want and len(want) > 1000
+
+
+def test_points_off_the_map(spark):
+    zones = frame(spark, [("h", 0, None, [[square(0, 0, 10, 10)]])])
+    points = spark.createDataFrame([(1, 5.0, 5.0), (2, float("nan"), 5.0), (3, None, 5.0), (4, 5.0, float("inf")), (5, 50.0, 5.0)], "k int, x double, y double")
+    assert {r.k: r.zone_id for r in L.locate(points, zones, "k").collect()} == {1: "h", 2: None, 3: None, 4: None, 5: None}
+
+
 def test_grid_neighbours(spark):
     zones = Y.grid(spark, 5, 6, 0.5)
     pairs = A.candidate_pairs(zones)
@@ -128,6 +143,15 @@ def test_quality(spark):
     assert Q.safe_repair(twice).first().status == "repaired"
 
 
+def test_self_intersections_by_cells(spark):
+    import math
+
+    round_ = [(math.cos(i / 50 * math.pi), math.sin(i / 50 * math.pi)) for i in range(100)]
+    pierced = round_[:60] + [(0.99, 0.31), *round_[60:]]
+    zones = frame(spark, [("round", 0, None, [[[*round_, round_[0]]]]), ("pierced", 0, None, [[[*pierced, pierced[0]]]]), ("twice", 0, None, [[[(0, 0), (0, 0), (1, 0), (1, 1), (0, 0)]]])])
+    assert [r.zone_id for r in Q.self_intersections(zones).collect()] == ["pierced"]
+
+
 def test_neighbor_rules(spark):
     rows = [("a", ["b", "x", "a"]), ("b", [])]
     found = {(r.code, r.zone_id, r.path) for r in Q.neighbor_issues(spark.createDataFrame(rows, "id string, neighbor_ids array<string>")).collect()}
