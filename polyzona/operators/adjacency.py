@@ -78,11 +78,15 @@ def _collinear(eps: float) -> Column:
     return F.when(flat & (hi - lo > eps), part)
 
 
-def shared_borders(pairs: DataFrame, zones: DataFrame, holes: bool = False, eps: float = G.LOOSE) -> DataFrame:
-    """a, b, metres: summed lengths of the distinct common parts of their sides; pairs without any are absent."""
-    sides = segments(zones, holes)
-    both = pairs.join(sides.select(F.col("id").alias("a"), F.struct("x1", "y1", "x2", "y2", *_BOX).alias("l")), "a")
-    both = both.join(sides.select(F.col("id").alias("b"), F.struct("x1", "y1", "x2", "y2", *_BOX).alias("r")), "b").where(cells.boxes_meet("l", "r", eps))
+def side_pairs(pairs: DataFrame, zones: DataFrame, holes: bool = False, eps: float = G.LOOSE) -> DataFrame:
+    """a, b, l, r: sides l of a and r of b whose boxes meet within eps, for pairs(a, b); a side meets those in its grid cells only."""
+    sides = segments(zones, holes).select("id", F.struct("x1", "y1", "x2", "y2", *_BOX).alias("side"), *[(F.col(f"bbox_{k}") + (eps if k in "en" else -eps)).alias(f"bbox_{k}") for k in "wsen"])
+    of = lambda k: pairs.select("a", "b").join(sides.withColumnRenamed("id", k), k).select("a", "b", "side", *_BOX)
+    found = cells.meeting(of("a"), of("b"), keys=("a", "b"), grids=cells.occurring_grids(sides))
+    return found.select("a.a", "a.b", F.col("a.side").alias("l"), F.col("b.side").alias("r")).where(cells.boxes_meet("l", "r", eps))
+
+
+def _borders(both: DataFrame, eps: float) -> DataFrame:
     parts = both.select("a", "b", _collinear(eps).alias("p")).where("p IS NOT NULL")
     snap = lambda c: G.round_half_up(F.col(c), 9)
     ends = F.array_sort(F.array(F.struct(snap("p.ax").alias("x"), snap("p.ay").alias("y")), F.struct(snap("p.bx").alias("x"), snap("p.by").alias("y"))))
@@ -91,22 +95,30 @@ def shared_borders(pairs: DataFrame, zones: DataFrame, holes: bool = False, eps:
     return parts.groupBy("a", "b", "k").agg(F.max("m").alias("m")).groupBy("a", "b").agg(G.round_half_up(F.sum("m"), 3).alias("metres"))
 
 
-def touch_points(pairs: DataFrame, zones: DataFrame, holes: bool = False, eps: float = G.LOOSE) -> DataFrame:
-    """a, b, touches: the number of distinct side ends that lie on sides of both."""
-    sides = segments(zones, holes)
-    both = pairs.join(sides.select(F.col("id").alias("a"), F.struct("x1", "y1", "x2", "y2", *_BOX).alias("l")), "a")
-    both = both.join(sides.select(F.col("id").alias("b"), F.struct("x1", "y1", "x2", "y2", *_BOX).alias("r")), "b").where(cells.boxes_meet("l", "r", eps))
+def _touches(both: DataFrame, eps: float) -> DataFrame:
     ends = F.array(*[F.struct(F.col(f"{s}.x{k}").alias("x"), F.col(f"{s}.y{k}").alias("y")) for s in "lr" for k in "12"])
     hit = both.select("a", "b", "l", "r", F.explode(ends).alias("p")).where(G.on_segment(F.col("p.x"), F.col("p.y"), F.col("l"), eps) & G.on_segment(F.col("p.x"), F.col("p.y"), F.col("r"), eps))
     key = F.struct(G.round_half_up(F.col("p.x"), 9), G.round_half_up(F.col("p.y"), 9))
     return hit.groupBy("a", "b").agg(F.countDistinct(key).alias("touches"))
 
 
+def shared_borders(pairs: DataFrame, zones: DataFrame, holes: bool = False, eps: float = G.LOOSE) -> DataFrame:
+    """a, b, metres: summed lengths of the distinct common parts of their sides; pairs without any are absent."""
+    return _borders(side_pairs(pairs, zones, holes, eps), eps)
+
+
+def touch_points(pairs: DataFrame, zones: DataFrame, holes: bool = False, eps: float = G.LOOSE) -> DataFrame:
+    """a, b, touches: the number of distinct side ends that lie on sides of both."""
+    return _touches(side_pairs(pairs, zones, holes, eps), eps)
+
+
 def relations(pairs: DataFrame, zones: DataFrame, eps: float = G.LOOSE) -> DataFrame:
     """a, b, relation, metres, touches, confidence for pairs(a, b).
 
     The first that holds of: disjoint bboxes, equal, contains, within, overlap, shared-border, point-touch, disjoint.
     """
+    pairs = staged(pairs.select("a", "b"))
+    sides = staged(side_pairs(pairs, zones, eps=eps))
     shaped = _with_shapes(pairs, zones)
     pa, pb = F.col("_a.polys"), F.col("_b.polys")
     shaped = shaped.withColumns(
@@ -117,8 +129,7 @@ def relations(pairs: DataFrame, zones: DataFrame, eps: float = G.LOOSE) -> DataF
             "_over": overlaps(pa, pb, eps),
         }
     ).drop("_a", "_b")
-    pairs = pairs.select("a", "b")
-    found = shaped.join(shared_borders(pairs, zones, eps=eps), ["a", "b"], "left").join(touch_points(pairs, zones, eps=eps), ["a", "b"], "left")
+    found = shaped.join(_borders(sides, eps), ["a", "b"], "left").join(_touches(sides, eps), ["a", "b"], "left")
     relation = (
         F.when(F.col("_apart"), "disjoint")
         .when(F.col("_ab") & F.col("_ba"), "equal")

@@ -68,14 +68,15 @@ def same_cell(a: str, b: str) -> Column:
     return F.expr(f"{a}._g = {b}._g AND {a}._cx = {b}._cx AND {a}._cy = {b}._cy")
 
 
-def meeting(a: DataFrame, b: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+def meeting(a: DataFrame, b: DataFrame, keys: tuple[str, ...] = (), grids: list[int] | None = None) -> DataFrame:
     """Structs a and b for the pairs of rows whose boxes meet and whose keys are equal, once each.
 
     A pair is keyed on the coarser of its two boxes' grids, so a box is in four cells at most on each grid that occurs,
-    whatever the sizes of its partners.
+    whatever the sizes of its partners. grids saves looking them up; it holds all that occur in a or b.
     """
+    of_a, of_b = (grids, grids) if grids else (occurring_grids(a), occurring_grids(b))
     on = same_cell("a", "b") & boxes_meet("a", "b") & in_reference_cell("a", "b")
     for k in keys:
         on = on & (F.col(f"a.{k}") == F.col(f"b.{k}"))
     both = lambda p, q: p.alias("a").join(q.alias("b"), on).select(F.struct("a.*").alias("a"), F.struct("b.*").alias("b"))
-    return both(own_cells(a), box_cells(b, occurring_grids(a))).unionByName(both(box_cells(a, occurring_grids(b), above=True), own_cells(b)))
+    return both(own_cells(a), box_cells(b, of_a)).unionByName(both(box_cells(a, of_b, above=True), own_cells(b)))
