@@ -6,6 +6,7 @@ import re
 import corpus_pipeline
 from polyzona.llm import shingles
 from polyzona.llm.common import Scratch
+from pyspark.sql import functions as F
 from tests.llm.test_operators import SCHEMA, brute_components, rows
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -86,3 +87,37 @@ def test_left_over_pairs_hold_all_that_are_similar(spark):
     got = {tuple(r) for r in shingles.left_over(large, roots, frame, Scratch(spark), 4).collect()}
     want = {(a, b) for b in range(60) for a in range(b) if root[a] != root[b] and similar(sets[a], sets[b])}
     assert want and want <= got and len(got) < 60 * 59 / 4
+
+
+def test_pairs_to_compare_grow_with_the_group_not_its_square(spark):
+    rng = random.Random(6)
+    base, table = [f"v{k}" for k in range(120)], []
+    for i in range(600):
+        w = list(base)
+        for _ in range(rng.randrange(4)):
+            w[rng.randrange(120)] = f"z{i}"
+        table.append((i, " ".join(w), "en", "a", 1))
+    prints = spark.createDataFrame(table, SCHEMA).select("text").mapInArrow(shingles._sketches(5), "seq long, fp long, bands array<long>").dropDuplicates(["seq"])
+    n = prints.count()
+    pairs, member = shingles.candidates(prints, Scratch(spark))
+    assert n > 300 and pairs.count() < 5 * n
+    assert member.where("large").count() > 5 * n
+
+
+def test_marks_keep_all_similar_pairs_and_drop_most_others(spark):
+    rng = random.Random(7)
+    sets = [{-3}, {2**63 - 1}]
+    for i in range(150):
+        n = rng.choice([1, 2, 9, 31, 32, 33, 60, 64, 70, 500, 520])
+        common = {k * 0x9E3779B97F4A7C15 % 2**64 - 2**63 for k in range(n)}
+        own = rng.randrange(n + 1) * (i % 3) // 4
+        sets.append(common - set(rng.sample(sorted(common), min(own, n - 1))) | {rng.randrange(-(2**63), 2**63) for _ in range(own)})
+    frame = spark.createDataFrame([(i, sorted(s)) for i, s in enumerate(sets)], "seq long, shingles array<long>")
+    of = shingles.marks(frame)
+    assert {r.seq: r.n for r in of.collect()} == {i: len(s) for i, s in enumerate(sets)}
+    for fifths in (1, 4):
+        met = of.join(of.toDF("b", "m", "other_bits"), F.expr("seq < b")).where(shingles.may_be_similar(fifths))
+        got = {(r.seq, r.b) for r in met.select("seq", "b").collect()}
+        want = {(a, b) for b in range(len(sets)) for a in range(b) if 5 * len(sets[a] & sets[b]) >= fifths * len(sets[a] | sets[b])}
+        assert want and want <= got
+    assert len(got - want) < len(want)
