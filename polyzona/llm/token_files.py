@@ -21,7 +21,7 @@ import os
 import re
 import struct
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -121,6 +121,31 @@ def decode_segment(image: bytes) -> tuple[list[int | None], np.ndarray, np.ndarr
 # ---------------------------------------------------------------- tokens
 
 
+class _Known(dict):
+    """A table that is filled by its function as keys are asked for, and emptied when it is full."""
+
+    def __init__(self, make: Callable[[bytes], bytes], room: int):
+        self.make, self.room = make, room
+
+    def __missing__(self, key: bytes) -> bytes:
+        value = self.make(key)
+        if len(self) >= self.room:
+            self.clear()
+        self[key] = value
+        return value
+
+
+#: What ends a word as a part of its own, if a lower-case ASCII letter comes before it: ASCII but letters and digits.
+_TAIL = bytes(b for b in range(128) if not chr(b).isalnum())
+_SMALL = frozenset(b"abcdefghijklmnopqrstuvwxyz")
+#: Lower-case ASCII letters, and letters from U+00C0 to U+00FF, in UTF-8.
+_LETTERS = re.compile(rb"(?:[a-z]++|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])++")
+#: Their bytes in lower case, as the characters by which the model knows bytes: printable Latin-1 as it is, others from U+0100 on.
+_ODD = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b)]
+_AS_CHAR = [chr(256 + _ODD.index(b)) if b in _ODD else chr(b) for b in range(256)]
+_MODEL = "".join(_AS_CHAR[b + 32 if 0x80 <= b <= 0x9E else b] for b in range(256))
+
+
 class WordEncoder:
     """Token ids of texts by way of their distinct words, as little-endian bytes.
 
@@ -133,45 +158,29 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.end, self.room = Tokenizer.from_file(file), np.array([end_id], "<u4").tobytes(), room
-        self.words: dict[bytes, bytes] = {}
-        self.parts: dict[bytes, bytes] = {}
-
-    def _learn(self, new: set[bytes]) -> None:
-        cut = {w: m.groups() if b"<|" not in w and (m := _PARTS.fullmatch(w)) else (w, b"") for w in new}
-        parts = {p for pair in cut.values() for p in pair if p and p not in self.parts}
-        if len(self.parts) + len(parts) > self.room:
-            self.parts.clear()
-            parts = {p for pair in cut.values() for p in pair if p}
-        # Lower-case ASCII letters are one word of the tokenizer's model; the rest goes through all of its steps.
-        plain = [p for p in parts if p.isascii() and p.isalpha() and p.islower()]
-        other = list(parts.difference(plain))
-        piece = self.tokenizer.model.tokenize
-        for w in plain:
-            self.parts[w] = array("I", [t.id for t in piece(w.decode())]).tobytes()
-        for i in range(0, len(other), 4096):
-            some = other[i : i + 4096]
-            for w, e in zip(some, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in some], add_special_tokens=False)):
-                self.parts[w] = array("I", e.ids).tobytes()
-        for w, (core, tail) in cut.items():
-            self.words[w] = self.parts[core] + self.parts[tail] if tail else self.parts[core]
+        self.tokenizer, self.end = Tokenizer.from_file(file), np.array([end_id], "<u4").tobytes()
+        self.piece = self.tokenizer.model.tokenize
+        self.parts = _Known(self._part, room)
+        self.words = _Known(self._word, room)
+
+    def _part(self, part: bytes) -> bytes:
+        # These letters are composed and one word of the tokenizer's model; the rest goes through all of its steps.
+        if _LETTERS.fullmatch(part):
+            return array("I", [t.id for t in self.piece(part.decode("latin-1").translate(_MODEL))]).tobytes()
+        return array("I", self.tokenizer.encode_batch_fast([part.decode("utf-8", "replace")], add_special_tokens=False)[0].ids).tobytes()
+
+    def _word(self, word: bytes) -> bytes:
+        core = word.rstrip(_TAIL)
+        if len(core) == len(word) or not core or core[-1] not in _SMALL or b"<|" in word:
+            return self.parts[word]
+        return self.parts[core] + self.parts[word[len(core) :]]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text, with the end id."""
-        split = [(t if b"<|" in t else t.lower()).split() for t in texts]
-        seen = set().union(*split)
-        new = {w for w in seen if w not in self.words}
-        if len(self.words) + len(new) > self.room:
-            self.words.clear()
-            new = seen
-        if new:
-            self._learn(new)
         known = self.words.__getitem__
-        return [b"".join(map(known, words)) + self.end for words in split]
+        return [b"".join(map(known, (t if b"<|" in t else t.lower()).split())) + self.end for t in texts]
 
 
-#: What ends in a lower-case ASCII letter and, after it, ASCII punctuation alone.
-_PARTS = re.compile(rb"(.*[a-z])([^a-z0-9A-Z\x80-\xff]+)", re.DOTALL)
 _ENCODERS: dict[tuple[str, int, int], WordEncoder] = {}
 
 
