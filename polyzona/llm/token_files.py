@@ -20,6 +20,7 @@ from __future__ import annotations
 import os
 import re
 import struct
+import zlib
 from array import array
 from collections.abc import Callable, Iterator
 
@@ -230,25 +231,24 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, end_id: int, s
     rows.mapInArrow(_write(tokenizer_file, end_id, segment_ids, room), "part int, seq int, n_ids long, n_docs int, image binary").write.parquet(path)
 
 
-def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part, seq, image in zip(batch.column("part").to_pylist(), batch.column("seq").to_pylist(), batch.column("image")):
-            docs, sizes, ids = decode_segment(image.as_py())
-            ends = np.cumsum(sizes, dtype=np.int64)
-            raw, n = ids.astype("<u4").tobytes(), len(docs)
-            tokens = [raw[4 * (e - s) : 4 * e] for e, s in zip(ends.tolist(), sizes.tolist())]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([part] * n, pa.int32()), pa.array([seq] * n, pa.int32()), pa.array(docs, pa.int64()), pa.array(ends - sizes), pa.array(sizes.astype(np.int64)), pa.array(tokens, pa.binary())],
-                names=["part", "seq", "doc_id", "inside", "n_tokens", "ids"],
-            )
+def _read(whole: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, seq, image in zip(batch.column("part").to_pylist(), batch.column("seq").to_pylist(), batch.column("image")):
+                docs, sizes, ids = decode_segment(image.as_py())
+                ends = np.cumsum(sizes, dtype=np.int64)
+                raw, n = ids.astype("<u4").tobytes(), len(docs)
+                tokens = [raw[4 * (e - s) : 4 * e] for e, s in zip(ends.tolist(), sizes.tolist())]
+                columns = {"part": pa.array([part] * n, pa.int32()), "seq": pa.array([seq] * n, pa.int32()), "doc_id": pa.array(docs, pa.int64()), "inside": pa.array(ends - sizes), "n_tokens": pa.array(sizes.astype(np.int64)), "ids_crc32": pa.array([zlib.crc32(t) for t in tokens], pa.int64())}
+                yield pa.RecordBatch.from_pydict(columns | ({"ids": pa.array(tokens, pa.binary())} if whole else {}))
+
+    return lean(run)
 
 
 def read_tokens(spark: SparkSession, path: str, ids: bool = True) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 and, with ids, the ids as little-endian bytes, decoded from the files."""
     files = spark.read.schema("part int, seq int, n_ids long, n_docs int, image binary").parquet(path)
-    docs = files.select("part", "seq", "image").mapInArrow(lean(_read), "part int, seq int, doc_id long, inside long, n_tokens long, ids binary")
-    docs = docs.withColumn("ids_crc32", F.crc32("ids"))
-    docs = docs if ids else docs.drop("ids")
+    docs = files.select("part", "seq", "image").mapInArrow(_read(ids), "part int, seq int, doc_id long, inside long, n_tokens long, ids_crc32 long" + ", ids binary" * ids)
     # Prefix sums of the segments' sizes within a part, and of the parts' sizes, of which there are as many as tasks wrote.
     parts = files.groupBy("part").agg(F.sum("n_ids").alias("n"))
     upto = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
